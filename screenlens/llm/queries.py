@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, linededup, secrets, simhash
+from . import bpe, decontam, langid, licenses, linededup, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(spark, _table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(spark, _table(spark, sf_dir, "documents")))
 
@@ -23,6 +27,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, _table(spark, sf_dir, "labels"))).select("doc_id", *quality.STATS[:5], "base_failed", "kept", "rule")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, _table(spark, sf_dir, "documents"))
 
@@ -35,11 +44,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.code(spark, _table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op4_simhash, op6_decontamination, op8_language_id, op9_line_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_licenses, op4_simhash, op6_decontamination, op7_quality, op8_language_id, op9_line_dedup, op10_bpe)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_SQL = {
+    "op2_licenses": licenses.oracle(),
     "op6_decontamination": rf"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
 b as (select coalesce(item_id::varchar, '') item, regexp_extract_all(translate(text, {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where text is not null),
