@@ -27,7 +27,6 @@ from .common import remove, scratch, tune
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 NO_ID = -(1 << 63)
-OUT = "doc_id long, n_lines long, n_dropped long, kept string"
 
 
 def key_of(line: str, min_chars: int) -> bytes | None:
@@ -113,23 +112,23 @@ def drop_lines(text: str | None, min_chars: int, doomed) -> tuple[int, list[str]
 
 
 def _apply(docs: DataFrame, min_chars: int, doomed_of) -> DataFrame:
-    """docs: doc_id, text and what `doomed_of(batch)` needs to give, for each row, its test for keys."""
+    """docs: row, text and what `doomed_of(batch)` needs to give, for each row, its test for keys."""
 
     def apply(batches):
         for b in batches:
             rows = [drop_lines(t, min_chars, d) for t, d in zip(b.column("text").to_pylist(), doomed_of(b), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([n for n, _ in rows], pa.int64()), pa.array([n - len(k) for n, k in rows], pa.int64()), pa.array(["\n".join(k) for _, k in rows], pa.string())],
-                names=["doc_id", "n_lines", "n_dropped", "kept"],
+                [b.column("row"), pa.array([n for n, _ in rows], pa.int64()), pa.array([n - len(k) for n, k in rows], pa.int64()), pa.array(["\n".join(k) for _, k in rows], pa.string())],
+                names=["row", "n_lines", "n_dropped", "kept"],
             )
 
-    return docs.mapInArrow(apply, OUT)
+    return docs.mapInArrow(apply, f"row {docs.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept string")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4, broadcast_keys: int = 500_000) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept (the remaining text) of every row."""
+    """row (struct of all columns but text), n_lines, n_dropped, kept (the remaining text) of every row."""
     tune(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"), "doc_id", "text")
     runs = LineRuns(spark, fanout)
     for k in range(batches):
         runs.add(keys(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), min_chars))
@@ -142,15 +141,15 @@ def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: i
 
         def tests(b):
             holder = table.value
-            for i in b.column("doc_id").to_pylist():
+            for i in b.column("row").field("doc_id").to_pylist():
                 own = NO_ID if i is None else i
                 yield lambda k, own=own: holder.get(k, own) != own
 
-        return _apply(docs, min_chars, tests)
+        return _apply(docs.select("row", "text"), min_chars, tests)
     own = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
     hit = keys(docs, min_chars).join(doomed.withColumnRenamed("doc", "holder"), ["k1", "k2"]).where("doc <> holder")
     lists = hit.groupBy("doc").agg(F.collect_set(F.struct("k1", "k2")).alias("ks"))
-    joined = docs.withColumn("own", own).join(lists.withColumnRenamed("doc", "own"), "own", "left").select("doc_id", "text", F.col("ks.k1").alias("k1s"), F.col("ks.k2").alias("k2s"))
+    joined = docs.withColumn("own", own).join(lists.withColumnRenamed("doc", "own"), "own", "left").select("row", "text", F.col("ks.k1").alias("k1s"), F.col("ks.k2").alias("k2s"))
 
     def listed(b):
         for one, two in zip(b.column("k1s").to_pylist(), b.column("k2s").to_pylist(), strict=True):
@@ -162,5 +161,9 @@ def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: i
 
 def digest(result: DataFrame) -> DataFrame:
     """The contract's columns of `dedup`."""
-    return result.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return result.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
+
+def clean(result: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the documents, with text replaced by what is left of it and n_chars by its length."""
+    return result.select(*(F.col("kept").alias(c) if c == "text" else F.length("kept").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in columns))
