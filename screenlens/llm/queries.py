@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, licenses, linededup, quality, secrets, simhash
+from . import bpe, decontam, html, langid, licenses, linededup, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(spark, _table(spark, sf_dir, "documents")))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(spark, _table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -44,7 +48,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.code(spark, _table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_licenses, op4_simhash, op6_decontamination, op7_quality, op8_language_id, op9_line_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_licenses, op4_simhash, op5_html, op6_decontamination, op7_quality, op8_language_id, op9_line_dedup, op10_bpe)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
