@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html, langid, licenses, linededup, quality, secrets, simhash
+from . import bpe, decontam, html, langid, licenses, linededup, quality, secrets, simhash, suffixdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(suffixdedup.dedup(spark, _table(spark, sf_dir, "documents")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(spark, _table(spark, sf_dir, "documents")))
 
@@ -48,7 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.code(spark, _table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_licenses, op4_simhash, op5_html, op6_decontamination, op7_quality, op8_language_id, op9_line_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_licenses, op3_suffix_dedup, op4_simhash, op5_html, op6_decontamination, op7_quality, op8_language_id, op9_line_dedup, op10_bpe)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
