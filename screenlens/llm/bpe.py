@@ -31,7 +31,7 @@ from .common import tune
 
 LEXICON_WORDS = 120_000
 #: Distinct words whose ids a worker remembers, and that a task counts before it lets the rare half go.
-REMEMBERED, COUNTED = 250_000, 1_000_000
+REMEMBERED, COUNTED = 120_000, 250_000
 SCHEMA = "ids binary, decoded string"
 NAME = "word_bpe_49k.json"
 
@@ -75,15 +75,21 @@ class Splitter:
     """
 
     def __init__(self, path: str):
+        self.path, self.normal = path, None
+
+    def load(self) -> None:
+        """The library's tokenizer takes much memory, and most workers never meet text that needs it."""
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        t = Tokenizer.from_file(self.path)
         self.normal, self.classes = t.normalizer.normalize_str, Classes(t.pre_tokenizer.pre_tokenize_str)
 
     def pieces(self, text: str) -> list[str]:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
+            if self.normal is None:
+                self.load()
             text = self.normal(text)
             return [text[m.start() : m.end()] for m in CLASS_PIECE.finditer(text.translate(self.classes))]
         return LATIN_PIECE.findall(text.lower())
@@ -260,7 +266,7 @@ class Codec:
         return " ".join(self.tokens[np.frombuffer(ids, dtype="<u4")])
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def _codec(path: str, key: int, block: Broadcast) -> Codec:
     return Codec(path, block.value)
 
