@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import collections
 import functools
+import heapq
 import json
 import mmap
 import re
@@ -119,6 +120,8 @@ class Merges:
     def word(self, word: bytes) -> list[int]:
         ids = [self.inner[c] for c in word[:-1]] + [self.last[word[-1]]]
         get = self.merge.get
+        if len(ids) > 50:
+            return self.long_word(ids)
         while len(ids) > 1:
             best, at = None, 0
             for k in range(len(ids) - 1):
@@ -131,6 +134,35 @@ class Merges:
         return ids
 
 
+    def long_word(self, ids: list[int]) -> list[int]:
+        """The same merges in n log n steps: pairs wait in a heap by rank and place; a pair that changed meanwhile is passed over."""
+        get, n = self.merge.get, len(ids)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap: list[tuple] = []
+
+        def wait(a: int) -> None:
+            b = after[a]
+            m = get((ids[a], ids[b])) if b >= 0 else None
+            if m is not None:
+                heapq.heappush(heap, (m[0], a, ids[a], ids[b], m[1]))
+
+        for a in range(n - 1):
+            wait(a)
+        while heap:
+            _, a, x, y, new = heapq.heappop(heap)
+            b = after[a]
+            if ids[a] != x or b < 0 or ids[b] != y:
+                continue
+            ids[a], ids[b] = new, -1
+            after[a] = after[b]
+            if after[b] >= 0:
+                before[after[b]] = a
+            if before[a] >= 0:
+                wait(before[a])
+            wait(a)
+        return [i for i in ids if i >= 0]
+
+
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """The minimal acyclic transducer of the words, as one block."""
     register: dict[tuple, int] = {}

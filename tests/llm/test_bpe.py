@@ -17,6 +17,7 @@ def reference():
 def texts():
     rng = random.Random(3)
     out = ["", "Hello, it's <|endoftext|>THE<|startoftext|> end", "<|endoftext|", "ΣΑΣ ΟΔΟΣ", "ȩ́ ẛ̣ İ", "x\x1cy\x85z\xa0w", "²½¼ 12 ٣"]
+    out += ["".join(rng.choice("abth") for _ in range(n)) for n in (49, 50, 51, 52, 200, 3000)] + ["a" * 999, "=" * 5000]
     for top in (0x7F, 0xFF, 0x250, 0x3000, 0xFFFF, 0x1FFFF):
         for _ in range(60):
             out.append("".join(c for c in (chr(rng.randrange(top)) for _ in range(40)) if not 0xD800 <= ord(c) < 0xE000))
