@@ -9,6 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def settled(value: Column) -> Column:
+    """The value, computed in a projection of its own.
+
+    An Arrow function must get plain columns: the planner does not find it in an expression with deeply
+    nested lambdas. A row number, which is never negative, keeps projections apart.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def arrow(kind: str) -> Callable:
     """Decorator: a function of Arrow arrays becomes one of Columns. It is evaluated once for a row, wherever its result is used."""
 

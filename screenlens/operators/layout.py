@@ -24,7 +24,7 @@ def marked(lines: Column) -> Column:
     """Lines with what the conditions need, computed once."""
     return F.transform(
         F.coalesce(lines, F.array().cast(schemas.LINES)),
-        lambda v: F.struct(*(v[c].alias(c) for c in ("text", "x", "y", "width", "height", "right", "bottom")), F.lower(v["text"]).alias("low"), url_like(v["text"]).alias("url"), count(v["text"], LETTERS).alias("letters"), F.length(v["text"]).alias("n")),
+        lambda v: F.struct(*(v[c].alias(c) for c in ("text", "x", "y", "width", "height", "right", "bottom")), F.lower(v["text"]).alias("low"), url_like(v["text"]).alias("url"), count(v["text"], LETTERS).alias("letters"), F.length(v["text"]).alias("n"), normalize(v["text"], 120).alias("short")),
     )
 
 
@@ -79,7 +79,7 @@ def layout(lines: Column, width: Column, height: Column, text: Column) -> Column
 
     def browser(s: Column) -> Column:
         title = pick(s["titles"], lambda v: v["n"], lambda v: v["width"])
-        fields = let(title, lambda t: texts(F.filter(s["fields"], lambda v: normalize(v["text"], 120) != t), 4))
+        fields = let(title, lambda t: texts(F.filter(s["fields"], lambda v: v["short"] != t), 4))
         return of(kind=F.lit("browser"), address_bar=pick(s["addresses"], lambda v: v["width"]), page_title=title, field_labels=fields)
 
     def chat(s: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..conf import Settings
+from ..functions.arrow import settled
 from ..functions.repair import repair_layout
 from ..functions.text import normalize, signal_score
 from ..operators import compose
@@ -32,7 +33,7 @@ def compose_records(screens: DataFrame) -> DataFrame:
     c = F.col
     w, h, text, caption = c("width"), c("height"), F.coalesce(c("text"), F.lit("")), F.coalesce(c("caption"), F.lit(""))
     like = F.coalesce(c("chart_visual.chart_like"), F.lit(False))
-    df = screens.withColumn("_layout", repair_layout(layout(c("lines"), w, h, text)))
+    df = screens.withColumn("_read", settled(layout(c("lines"), w, h, text))).withColumn("_layout", repair_layout("_read"))
     df = df.withColumn("_pre", scene(text, w, h, like))
     df = df.withColumn("_scene", with_layout(F.when(caption == "", c("_pre")).otherwise(scene(text, w, h, like, caption)), c("_layout.kind")))
     df = df.withColumn("_chart", F.when((c("_pre") == "chart") | (c("_scene") == "chart"), chart_text(c("lines"), w, h)))
@@ -51,7 +52,7 @@ def compose_records(screens: DataFrame) -> DataFrame:
         F.coalesce(c("backend"), F.lit("")).alias("ocr_backend"),
         F.lit(False).alias("caption_pending"),
     )
-    return df.withColumn("record", F.when(c("ok"), good).otherwise(failure(UNREADABLE))).drop("_layout", "_pre", "_scene", "_chart")
+    return df.withColumn("record", F.when(c("ok"), good).otherwise(failure(UNREADABLE))).drop("_read", "_layout", "_pre", "_scene", "_chart")
 
 
 def failure(summary: str):
@@ -71,8 +72,9 @@ def read_twice(images: DataFrame, provider: ocr.Provider) -> DataFrame:
     one = provider(images, "content", False, "_ocr").withColumns(
         {"text": normalize(c("_ocr.text"), 1600), "lines": normalize_lines(c("_ocr.lines"), c("width"), c("height")), "backend": F.coalesce("_ocr.backend", F.lit(""))}
     )
-    one = one.withColumn("retried", c("content").isNotNull() & should_retry(c("text"), c("width"), c("height")))
-    both = provider(one.withColumn("_png", retry_png(F.when(c("retried"), c("content")))), "_png", True, "_again")
+    one = one.withColumn("retried", settled(c("content").isNotNull() & should_retry(c("text"), c("width"), c("height"))))
+    poor = one.withColumn("_poor", F.when(c("retried"), c("content"))).withColumn("_png", retry_png("_poor"))
+    both = provider(poor, "_png", True, "_again")
     s = F.least(F.lit(2.0), F.lit(2560.0) / F.greatest("width", F.lit(1)), F.lit(1920.0) / F.greatest("height", F.lit(1)))
     grown = lambda n: F.when(s > 1.05, F.greatest(F.lit(1), F.rint(c(n) * s).cast("int"))).otherwise(c(n))
     more = normalize_lines(c("_again.lines"), c("width"), c("height"), grown("width"), grown("height"))
@@ -89,7 +91,7 @@ def read_twice(images: DataFrame, provider: ocr.Provider) -> DataFrame:
 def with_captions(screens: DataFrame, provider: captions.Provider) -> DataFrame:
     """screens with `caption`; the provider works only where a caption would add something."""
     w, h, text = F.col("width"), F.col("height"), F.col("text")
-    wanted = screens.withColumn("_wanted", F.when(should_caption(text, w, h, F.col("chart_visual.chart_like")), F.col("content"))).withColumn("_prompt", caption_prompt(text, w, h))
+    wanted = screens.withColumn("_wanted", settled(F.when(should_caption(text, w, h, F.col("chart_visual.chart_like")), F.col("content")))).withColumn("_prompt", settled(caption_prompt(text, w, h)))
     return provider(wanted, "_wanted", "_prompt", "_caption").withColumn("caption", normalize(F.col("_caption"), 320)).drop("_wanted", "_prompt", "_caption")
 
 
