@@ -13,17 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenlens.llm import bpe, decontam, langid, linededup, simhash
-from screenlens.llm.common import fresh, stored, tune
+from screenlens.llm.common import fresh, known_small, stored, tune
 
 #: The stages' models (a language model, a lexicon) have no SQL form; tests/llm holds the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs whose doc_id is (left_semi) or isn't (left_anti) among ids (doc_id)."""
+#: Ids that are broadcast at most, of 8 bytes each.
+FEW = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id isn't among ids (doc_id). Few ids are broadcast, so that texts need not be shuffled; more meet the documents by join."""
     name = fresh(docs.columns, "_id")
-    ids = ids.select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[name]), how)
+    ids, few = known_small(ids.select(F.col("doc_id").alias(name)).distinct(), FEW)
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids[name]), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +45,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates, the document with the smallest doc_id."""
-    found = simhash.near_duplicates(spark, docs)
-    return only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_semi")
+    found = stored(simhash.near_duplicates(spark, docs), "components")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return without(docs, found.where(~stays).select("doc_id").subtract(found.where(stays).select("doc_id")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     found = decontam.scan(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return only(docs, found.where("contaminated"), "left_anti")
+    return without(docs, found.where("contaminated"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

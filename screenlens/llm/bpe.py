@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import release, tidy, tune
 
 LEXICON_WORDS = 120_000
 #: Distinct words whose ids a worker remembers, and that a task counts before it lets the rare half go.
@@ -303,7 +303,7 @@ def _codec(path: str, key: int, block: Broadcast) -> Codec:
     return Codec(path, block.value)
 
 
-def groups(texts: list[str | None], limit: int = 2_000_000):
+def groups(texts: list[str | None], limit: int = 500_000):
     part, size = [], 0
     for t in texts:
         part.append(t)
@@ -322,7 +322,10 @@ def codec_udf(path: str, block: Broadcast, key: int):
     def code(text: pa.Array) -> pa.Array:
         codec = _codec(path, key, block)
         ids = [x for part in groups(text.to_pylist()) for x in codec.encode(part)]
-        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.string())], ["ids", "decoded"])
+        out = pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.string())], ["ids", "decoded"])
+        del ids
+        release()
+        return out
 
     return code.asNondeterministic()
 
@@ -344,7 +347,7 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
             part = top[k : k + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
 
-    return docs.select("text").mapInArrow(count, "word string, n long")
+    return docs.select("text").mapInArrow(tidy(count), "word string, n long")
 
 
 def lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> bytes:

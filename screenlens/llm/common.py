@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch: bounds what a Python worker holds at once when texts are long.
@@ -40,6 +43,33 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def known_small(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
+    """A table written to the shared folder, and whether it has at most so many rows: only then may it be broadcast."""
+    df = stored(df, "side")
+    return df, df.limit(rows + 1).count() <= rows
+
+
+def release() -> None:
+    """Give memory that is free back to the system; workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of batches that releases memory when it ends."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name that is not taken, whatever the letter case."""
     taken = {c.lower() for c in columns}

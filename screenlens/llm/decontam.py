@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranges, stored, tune
+from .common import ranges, stored, tidy, tune
 
 #: ASCII that is neither digit nor letter parts words; A-Z becomes a-z; all else stays.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -145,7 +145,7 @@ def build_index(docs: DataFrame, queries) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.select("doc_id", "text").mapInArrow(build, INDEX)
+    return docs.select("doc_id", "text").mapInArrow(tidy(build), INDEX)
 
 
 def answer(index: DataFrame, queries) -> DataFrame:
@@ -176,7 +176,7 @@ def answer(index: DataFrame, queries) -> DataFrame:
                     names=["seg", "at", "doc_id", "n_words", "first", "last", "items"],
                 )
 
-    return index.mapInArrow(search, HITS)
+    return index.mapInArrow(tidy(search), HITS)
 
 
 def covered(first: list[int], last: list[int]) -> int:
@@ -198,7 +198,7 @@ def finish(hits: DataFrame) -> DataFrame:
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return hits.mapInArrow(digest, OUT)
+    return hits.mapInArrow(tidy(digest), OUT)
 
 
 def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 16_000_000) -> DataFrame:

@@ -24,12 +24,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import known_small, release, tidy, tune
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Code points that one numpy step handles.
-STEP = 400_000
+STEP = 150_000
 #: Expected number of training texts of a language, at most.
 MAX_DOCS = 2500
 UNKNOWN = "und"
@@ -129,7 +129,7 @@ def bucket_counts(docs: DataFrame) -> DataFrame:
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([number[k] for k in keys], pa.int64()), pa.array([total[k].astype(np.int32).tobytes() for k in keys], pa.binary())], names=["lang", "n", "counts"])
 
-    return docs.mapInArrow(count, "lang string, n long, counts binary")
+    return docs.mapInArrow(tidy(count), "lang string, n long, counts binary")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -140,7 +140,8 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, tasks: int = 6) -> Model:
     """Learn from rows (doc_id, text, lang) with neither text nor lang null, about `max_docs` of each language."""
     tune(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    share = rows.groupBy("lang").agg((F.lit(float(max_docs)) / F.count("*")).alias("share"))
+    share, small = known_small(rows.groupBy("lang").agg((F.lit(float(max_docs)) / F.count("*")).alias("share")), 10_000)
+    share = F.broadcast(share) if small else share
     drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(share, "lang").where(drawn < F.col("share")).select("lang", "text").repartition(tasks)
     total: dict[str, np.ndarray] = {}
@@ -162,6 +163,7 @@ def predict_udf(model: Broadcast):
     @F.arrow_udf(SCHEMA)
     def predict(text: pa.Array) -> pa.Array:
         langs, score = model.value.predict(text.to_pylist())
+        release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     return predict.asNondeterministic()

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, scratch, tune
+from .common import remove, scratch, tidy, tune
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 NO_ID = -(1 << 63)
@@ -54,7 +54,7 @@ def keys(docs: DataFrame, min_chars: int = 20) -> DataFrame:
             k = np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(owner, pa.int64())], names=["k1", "k2", "doc"])
 
-    return docs.select("doc_id", "text").mapInArrow(emit, "k1 long, k2 long, doc long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(emit), "k1 long, k2 long, doc long")
 
 
 class LineRuns:
@@ -122,7 +122,7 @@ def _apply(docs: DataFrame, min_chars: int, doomed_of) -> DataFrame:
                 names=["row", "n_lines", "n_dropped", "kept"],
             )
 
-    return docs.mapInArrow(apply, f"row {docs.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept string")
+    return docs.mapInArrow(tidy(apply), f"row {docs.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept string")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4, broadcast_keys: int = 500_000) -> DataFrame:

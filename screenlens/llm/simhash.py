@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranges, stored, tune
+from .common import ranges, stored, tidy, tune
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Hashes whose bits are counted at once.
@@ -81,7 +81,7 @@ def fingerprint_table(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(b.column("text").to_pylist(), width), pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 class BKTree:
@@ -181,7 +181,7 @@ def shard_links(shards: DataFrame, radius: int, tree: int) -> DataFrame:
         if len(key):
             yield links(key, fp)
 
-    return shards.mapInArrow(run, "a long, b long")
+    return shards.mapInArrow(tidy(run), "a long, b long")
 
 
 def blocks(bits: list[int], parts: int) -> list[list[int]]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import induced
-from .common import ranges, stored, tune
+from .common import ranges, stored, tidy, tune
 
 LENGTH, GRAM = 100, 32
 #: Bytes handled at once; contexts that a task compares at once; bytes of a shard.
@@ -168,7 +168,7 @@ def scan_contexts(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield from deduped()
 
-    return docs.mapInArrow(run, ROW)
+    return docs.mapInArrow(tidy(run), ROW)
 
 
 def first_contexts(rows: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def first_contexts(rows: DataFrame) -> DataFrame:
             k = at[-1]
             lead = (anchor[k], ctx[k], doc[k], h[k], start[k], n[k], not waits)
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "ctx", "doc", "h", "start").mapInArrow(run, FOUND)
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "ctx", "doc", "h", "start").mapInArrow(tidy(run), FOUND)
 
 
 def shard_spans(rows: DataFrame, length: int) -> DataFrame:
@@ -275,7 +275,7 @@ def shard_spans(rows: DataFrame, length: int) -> DataFrame:
         k = k[first]
         yield _rows(["kind", "anchor", "doc", "h", "start", "n"], [np.zeros(len(k), np.int64), doc[k], h[k], start[k] + p[first] - begin[k], p[last] - p[first] + 1], 1)
 
-    return rows.mapInArrow(run, FOUND)
+    return rows.mapInArrow(tidy(run), FOUND)
 
 
 def cut(raw: bytes, starts, numbers, length: int) -> tuple[bytes, int, int]:
@@ -322,7 +322,7 @@ def dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFra
             rows = [cut(r, s or (), n or (), length) for r, s, n in zip(raws, b.column("starts").to_pylist(), b.column("numbers").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(r) for r in raws], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[0] for x in rows], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(apply, OUT)
+    return joined.mapInArrow(tidy(apply), OUT)
 
 
 def digest(result: DataFrame) -> DataFrame:
