@@ -66,7 +66,7 @@ def readable_labels(text: Column, limit: int = 6) -> Column:
 
 def numeric_markers(text: Column, limit: int = 8) -> Column:
     """Quarters, percentages, numbers with a magnitude, short numbers: kind by kind."""
-    return let(normalize(text, 1200), lambda t: F.slice(first_spellings(F.transform(F.concat(*(F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in MARKERS)), F.trim)), 1, limit))
+    return let(normalize(text, 1200), lambda t: F.slice(first_spellings(F.transform(F.concat(*(F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in MARKERS)), lambda m: F.trim(m))), 1, limit))
 
 
 def url_like(text: Column) -> Column:
