@@ -29,6 +29,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """At most two tasks, and so two files, for each core of the cluster: for tables much smaller than the documents."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table to the shared folder and read it again."""
     path = scratch(df.sparkSession, name)
@@ -45,7 +50,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def known_small(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
     """A table written to the shared folder, and whether it has at most so many rows: only then may it be broadcast."""
-    df = stored(df, "side")
+    df = stored(narrow(df), "side")
     return df, df.limit(rows + 1).count() <= rows
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, scratch, tidy, tune
+from .common import narrow, remove, scratch, tidy, tune
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 NO_ID = -(1 << 63)
@@ -68,7 +68,7 @@ class LineRuns:
 
     def _write(self, run: DataFrame) -> str:
         path = scratch(self.spark, "run")
-        run.sortWithinPartitions("k1", "k2").write.parquet(path)
+        narrow(run).sortWithinPartitions("k1", "k2").write.parquet(path)
         return path
 
     def add(self, batch: DataFrame) -> None:
@@ -133,7 +133,7 @@ def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: i
     for k in range(batches):
         runs.add(keys(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), min_chars))
     path = scratch(spark, "doomed")
-    runs.view().where(F.col("n") >= min_docs).select("k1", "k2", "doc").write.parquet(path)
+    narrow(runs.view().where(F.col("n") >= min_docs).select("k1", "k2", "doc")).write.parquet(path)
     doomed = spark.read.schema("k1 long, k2 long, doc long").parquet(path)
     if doomed.count() <= broadcast_keys:
         rows = doomed.collect()
