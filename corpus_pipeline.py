@@ -45,7 +45,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates, the document with the smallest doc_id."""
-    found = stored(narrow(simhash.near_duplicates(spark, docs)), "components")
+    found = stored(narrow(simhash.near_duplicates(spark, docs), docs.count()), "components")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return without(docs, found.where(~stays).select("doc_id").subtract(found.where(stays).select("doc_id")))
 

@@ -29,9 +29,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def narrow(df: DataFrame) -> DataFrame:
-    """At most two tasks, and so two files, for each core of the cluster: for tables much smaller than the documents."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+#: Rows of a small table's file, about.
+FILE_ROWS = 500_000
+
+
+def narrow(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Few tasks, and so few files, for tables much smaller than the documents: two for each core of the cluster at most, and one for each FILE_ROWS of `rows`, the number that it has at most or about."""
+    most = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(most if rows is None else max(1, min(most, -(-rows // FILE_ROWS))))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -50,7 +55,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def known_small(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
     """A table written to the shared folder, and whether it has at most so many rows: only then may it be broadcast."""
-    df = stored(narrow(df), "side")
+    df = stored(narrow(df, rows), "side")
     return df, df.limit(rows + 1).count() <= rows
 
 

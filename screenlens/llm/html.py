@@ -260,6 +260,12 @@ def best(root: Node) -> list[Node]:
         points[k] *= 1 - b / a if a else 1.0
     top = max(node_of, key=lambda k: points[k])
     n = node_of[top]
+    # What stands in an article is the article's: its head and other sections belong to it.
+    up = n
+    while up is not None and up.tag != "article":
+        up = up.parent
+    if up is not None:
+        return [up]
     if n.parent is None:
         return [n]
     limit, out = max(10.0, points[top] * 0.2), []

@@ -58,17 +58,17 @@ def keys(docs: DataFrame, min_chars: int = 20) -> DataFrame:
 
 
 class LineRuns:
-    """Levels of sorted runs; `levels[i]` lists the paths of level i."""
+    """Levels of sorted runs; `levels[i]` lists the paths of level i. rows: what a run has, about."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+    def __init__(self, spark: SparkSession, fanout: int = 4, rows: int | None = None):
+        self.spark, self.fanout, self.rows, self.levels = spark, fanout, rows, [[]]
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema("k1 long, k2 long, n long, doc long").parquet(*paths)
 
     def _write(self, run: DataFrame) -> str:
         path = scratch(self.spark, "run")
-        narrow(run).sortWithinPartitions("k1", "k2").write.parquet(path)
+        narrow(run, self.rows).sortWithinPartitions("k1", "k2").write.parquet(path)
         return path
 
     def add(self, batch: DataFrame) -> None:
@@ -129,11 +129,12 @@ def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: i
     """row (struct of all columns but text), n_lines, n_dropped, kept (the remaining text) of every row."""
     tune(spark)
     docs = docs.select(F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"), "doc_id", "text")
-    runs = LineRuns(spark, fanout)
+    lines = 10 * docs.count()  # about; it decides the number of files
+    runs = LineRuns(spark, fanout, lines)
     for k in range(batches):
         runs.add(keys(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), min_chars))
     path = scratch(spark, "doomed")
-    narrow(runs.view().where(F.col("n") >= min_docs).select("k1", "k2", "doc")).write.parquet(path)
+    narrow(runs.view().where(F.col("n") >= min_docs).select("k1", "k2", "doc"), lines).write.parquet(path)
     doomed = spark.read.schema("k1 long, k2 long, doc long").parquet(path)
     if doomed.count() <= broadcast_keys:
         rows = doomed.collect()

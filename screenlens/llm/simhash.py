@@ -213,13 +213,13 @@ def links(fps: DataFrame, radius: int = RADIUS, split: int = 512, tree: int = 40
     return shard_links(rows.repartition("shard").sortWithinPartitions("shard", "fp"), radius, tree).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the least node that each node of the edges (a, b) reaches.
+def components(edges: DataFrame, rounds: int = 60, nodes: int | None = None) -> DataFrame:
+    """(node, root): the least node that each node of the edges (a, b) reaches. nodes: how many there are at most.
 
     Large-star and small-star contraction in turn; each round is written to the shared folder. The
     rounds grow with the logarithm of a component's size.
     """
-    e = stored(narrow(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), "edges")
+    e = stored(narrow(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), nodes), "edges")
     mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     for _ in range(rounds):
         if not mark[0]:
@@ -229,7 +229,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        e = stored(narrow(small), "edges")
+        e = stored(narrow(small, nodes), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -243,8 +243,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = SHINGLE,
     """doc_id, fp, component_id of every row of docs (doc_id, text)."""
     tune(spark)
     table = stored(fingerprint_table(docs, width), "fingerprints")
-    fps = stored(narrow(table.groupBy("fp").agg(F.min("doc_id").alias("least"))), "distinct")
-    root = components(links(fps.select("fp"), radius))
+    fps = stored(narrow(table.groupBy("fp").agg(F.min("doc_id").alias("least")), table.count()), "distinct")
+    root = components(links(fps.select("fp"), radius), nodes=fps.count())
     linked = fps.join(root.withColumnRenamed("node", "fp"), "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     label = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))

@@ -25,6 +25,7 @@ CASES = {
         f"{LONG.strip()}\nfirst\nsecond one\na\nb\nc\nx y",
     ),
     "broken": (f"<div><p>{LONG}</div></div></p><<p>a < b</p", f"{LONG.strip()}\n< a < b"),
+    "sections": (f"<div id=x><article><header><h1>Head</h1></header><section><p>{LONG * 9}</section><section><p>Short.</section></article><p>{LONG}</div>", f"Head\n{(LONG * 9).strip()}\nShort."),
     "deep": ("<div>" * 5000 + f"<p>{LONG}</p>", LONG.strip()),
 }
 
