@@ -155,16 +155,17 @@ def context_block(record: Column, number: Column) -> Column:
     )
 
 
-def user_context(records: DataFrame, by: list[str], pos: str, question: str | None = None, shown: int = 4) -> DataFrame:
+def user_context(records: DataFrame, by: list[str], pos: str, question: str | None = None, shown: int = 4, total: str | None = None) -> DataFrame:
     """One prompt context for each group of records (column `record`): the first images in full, the rest counted.
 
     The rank keeps all but the first few records out of the aggregation, so a group of any size is
-    folded from `shown` rows and a count.
+    folded from `shown` rows and a count. total: a column with the number of images of the group, where
+    records has only its first ones.
     """
     ranked = records.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(pos)))
     head = ranked.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.when(F.col("_n") <= shown, F.struct(F.col("_n"), context_block(F.col("record"), F.col("_n")).alias("block"))))).alias("blocks"),
-        F.greatest(F.count("*") - shown, F.lit(0)).alias("omitted"),
+        F.greatest((F.max(total) if total else F.count("*")) - shown, F.lit(0)).alias("omitted"),
         (F.max(question) if question else F.lit("")).alias("question"),
     )
     asked = normalize(F.col("question"), 400)
