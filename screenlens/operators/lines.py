@@ -85,10 +85,11 @@ def merge_lines(first: Column, second: Column) -> Column:
 def words_to_lines(words: DataFrame, by: list[str]) -> DataFrame:
     """Word rows (level, page_num, block_num, par_num, line_num, pos, left, top, width, height, text) to lines.
 
-    `pos` is the row's order within `by`. One aggregation by line; a line's words are collected in
-    order, boxes are widened only by rows from the first word on. Returns by, text and lines.
+    `pos` is the row's order within `by`, the image. A line's words are collected in order, boxes are
+    widened only by rows from the first word on. Rows are dealt by image once: both aggregations, by line and
+    by image, work on that. Returns by, text and lines.
     """
-    rows = words.where(safe_int(F.col("level")).isin(4, 5))
+    rows = words.where(safe_int(F.col("level")).isin(4, 5)).repartition(*by)
     n = {c: safe_int(F.col(c)) for c in ("level", "left", "top", "width", "height")}
     row = F.struct(
         F.col("pos"),

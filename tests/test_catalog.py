@@ -65,3 +65,8 @@ def test_no_shuffle_in_record_plan(spark):
 def test_scan_reads_needed_columns(spark):
     plan = QUERIES["readable_labels"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_words_are_dealt_once(spark):
+    plan = QUERIES["words_to_lines"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
