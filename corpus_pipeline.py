@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlens.llm import bpe, decontam, langid, linededup, simhash
+from screenlens.llm import bpe, decontam, langid, linededup, neardup
 from screenlens.llm.common import fresh, known_small, narrow, stored, tune
 
 #: The stages' models (a language model, a lexicon) have no SQL form; tests/llm holds the pipeline against brute force.
@@ -44,8 +44,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document with the smallest doc_id."""
-    found = stored(narrow(simhash.near_duplicates(spark, docs), docs.count()), "components")
+    """Of each component of near-duplicates (SimHash candidates, verified: five-word shingles, similarity 0.8), the document with the smallest doc_id."""
+    found = stored(narrow(neardup.near_duplicates(spark, docs), docs.count()), "components")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return without(docs, found.where(~stays).select("doc_id").subtract(found.where(stays).select("doc_id")))
 
