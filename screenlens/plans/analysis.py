@@ -130,3 +130,15 @@ def capabilities(spark: SparkSession, windows: bool | None = None, tesseract: bo
     t = ocr.has_tesseract() if tesseract is None else tesseract
     c = captions.has_captions() if caption is None else caption
     return spark.createDataFrame([(w, t, c, w or t, w or t or c)], "windows_ocr boolean, tesseract_ocr boolean, caption boolean, full_analysis boolean, any boolean")
+
+
+def events(records: DataFrame) -> DataFrame:
+    """(stage, data) for each record: what was found by which engine. Times are the engine's own metrics."""
+    r = lambda c: F.col(f"record.{c}")
+    data = {"ok": r("ok"), "has_ocr": r("ocr_text") != "", "has_caption": r("caption") != "", "ocr_backend": r("ocr_backend"), "caption_pending": r("caption_pending"), "size": r("size")}
+    return records.select(F.when(r("ok"), "analysis").otherwise("decode_error").alias("stage"), F.create_map(*(x for k, v in data.items() for x in (F.lit(k), v.cast("string")))).alias("data"))
+
+
+def write_records(records: DataFrame, path: str, mode: str = "append") -> None:
+    """Records as Parquet, in folders by scene, so that a reader of one scene reads no other."""
+    records.withColumn("scene", F.when(F.col("record.ok"), F.col("record.scene")).otherwise("failed")).write.mode(mode).partitionBy("scene").parquet(path)

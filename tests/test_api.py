@@ -42,3 +42,15 @@ def test_capabilities(spark):
     c = api.get_local_image_capabilities()
     assert c["full_analysis"] == api.has_local_image_support() and c["caption"] == api.has_caption_support()
     assert c["any"] == (c["full_analysis"] or c["caption"]) and set(c) == {"windows_ocr", "tesseract_ocr", "caption", "full_analysis", "any"}
+
+
+def test_events_and_sink(spark, tmp_path):
+    from screenlens.plans.analysis import analyze, events, write_records
+
+    records = analyze(spark, screens.drawn(spark), provider=ocr.empty)
+    assert sorted(r.stage for r in events(records).collect()).count("decode_error") == 2
+    assert events(records).where("data['size'] = '1280x800' and data['has_ocr'] = 'false'").count() == 5
+    write_records(records, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert {r.scene: r["count"] for r in back.groupBy("scene").count().collect()} == {"chart": 5, "image": 1, "failed": 2}
+    assert back.where("scene = 'chart'").count() == 5
