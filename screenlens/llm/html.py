@@ -40,6 +40,9 @@ CUT_ROLE = frozenset("navigation banner contentinfo complementary search form me
 CUT_WORDS = frozenset(
     "ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+#: Those that leave no doubt, and words that turn the meaning of what follows.
+CERTAIN = frozenset("comment comments commentlist disqus advert adverts advertisement advertising sponsored promo cookie cookies gdpr newsletter".split())
+NEGATION = frozenset("has with no without not is".split())
 GOOD_WORDS = frozenset("article body content entry hentry main page post story text blog".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 KEEP_TAGS = frozenset("html body article main".split())
@@ -66,8 +69,20 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def names(attrs: dict[str, str]) -> set[str]:
-    return {w.lower() for k in ("class", "id") if k in attrs for w in WORD.findall(attrs[k])}
+def names(attrs: dict[str, str]) -> list[list[str]]:
+    """Words of each class and of the id."""
+    every = [*attrs.get("class", "").split(), attrs.get("id", "")]
+    return [w for w in ([x.lower() for x in WORD.findall(v)] for v in every) if w]
+
+
+def unwanted(attrs: dict[str, str]) -> bool:
+    """Whether a class or the id says that this is no main text. `content-footer` does, `footer-content` and `with-sidebar` don't."""
+    for w in names(attrs):
+        if w[0] in NEGATION:
+            continue
+        if w[-1] in CUT_WORDS or CERTAIN.intersection(w) or CUT_WORDS.intersection(w) and not GOOD_WORDS.intersection(w):
+            return True
+    return False
 
 
 def parse(page: str) -> Node:
@@ -158,8 +173,7 @@ def cut(root: Node) -> None:
         if n.attrs and n.attrs != "/" and n.tag not in KEEP_TAGS:
             a = attributes(n.attrs)
             style = a.get("style", "").replace(" ", "").lower()
-            words = names(a)
-            if a.get("role", "").lower() in CUT_ROLE or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style or words & CUT_WORDS and not (words & GOOD_WORDS and not words & {"comment", "comments", "related", "sidebar", "ad", "ads", "nav", "menu", "footer"}):
+            if a.get("role", "").lower() in CUT_ROLE or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style or unwanted(a):
                 n.hidden = True
                 continue
         todo += [c for c in n.parts if isinstance(c, Node)]
@@ -217,7 +231,7 @@ def bonus(n: Node) -> float:
     if n.tag in ("ol", "ul", "dl", "li", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "th"):
         base -= 3.0
     if n.attrs and n.attrs != "/":
-        base += 25.0 * bool(names(attributes(n.attrs)) & GOOD_WORDS)
+        base += 25.0 * any(GOOD_WORDS.intersection(w) for w in names(attributes(n.attrs)))
     return base
 
 
