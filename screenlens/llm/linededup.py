@@ -7,8 +7,8 @@ level. A later batch is checked against the runs by merge anti-join (`novel`).
 
 `dedup` adds all documents batch by batch, then merges the runs on reading. Lines whose key is in
 at least `min_docs` rows go, except in the largest doc_id holding it. The keys concerned are
-broadcast only if there are at most `broadcast_keys` (24 bytes each); else documents meet them by
-join.
+broadcast only if there are at most `broadcast_keys` (about 150 bytes each in a worker); else documents
+meet them by join.
 
 Defined results: a null text is one empty line; a null doc_id sorts below all others; each row
 counts as a document of its own, and rows that repeat a doc_id keep or lose a line together; other
@@ -58,10 +58,14 @@ def keys(docs: DataFrame, min_chars: int = 20) -> DataFrame:
 
 
 class LineRuns:
-    """Levels of sorted runs; `levels[i]` lists the paths of level i. rows: what a run has, about."""
+    """Levels of sorted runs; `levels[i]` lists the paths of level i.
 
-    def __init__(self, spark: SparkSession, fanout: int = 4, rows: int | None = None):
-        self.spark, self.fanout, self.rows, self.levels = spark, fanout, rows, [[]]
+    enough: the count from which on a key's number no longer matters (None: all are exact). rows: what
+    a run has, about.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = 4, enough: int | None = None, rows: int | None = None):
+        self.spark, self.fanout, self.enough, self.rows, self.levels = spark, fanout, enough, rows, [[]]
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema("k1 long, k2 long, n long, doc long").parquet(*paths)
@@ -73,7 +77,11 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> None:
         """Add the rows (k1, k2, doc) of a batch as a run, then compact full levels."""
-        self.levels[0].append(self._write(batch.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc").alias("doc"))))
+        run = batch.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc").alias("doc"))
+        if self.enough is not None and any(self.levels):
+            known = self.view().where(F.col("n") >= self.enough).select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("doc").alias("holder"))
+            run = run.hint("merge").join(known, (run["k1"] == known["a1"]) & (run["k2"] == known["a2"]) & (run["doc"] <= known["holder"]), "left_anti")
+        self.levels[0].append(self._write(run))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             if level + 1 == len(self.levels):
@@ -125,12 +133,12 @@ def _apply(docs: DataFrame, min_chars: int, doomed_of) -> DataFrame:
     return docs.mapInArrow(tidy(apply), f"row {docs.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept string")
 
 
-def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4, broadcast_keys: int = 500_000) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4, broadcast_keys: int = 200_000) -> DataFrame:
     """row (struct of all columns but text), n_lines, n_dropped, kept (the remaining text) of every row."""
     tune(spark)
     docs = docs.select(F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"), "doc_id", "text")
     lines = 10 * docs.count()  # about; it decides the number of files
-    runs = LineRuns(spark, fanout, lines)
+    runs = LineRuns(spark, fanout, min_docs, lines)
     for k in range(batches):
         runs.add(keys(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), min_chars))
     path = scratch(spark, "doomed")

@@ -63,6 +63,11 @@ def test_runs(spark):
     assert [len(x) for x in runs.levels] == [1, 1]
     assert rows(runs.view(), "k1", "n", "doc") == [(1, 3, 7), (2, 1, 5), (3, 1, 1)]
     assert rows(runs.novel(batch((1, 9), (4, 9))), "k1") == [(4,)]
+    runs = linededup.LineRuns(spark, fanout=9, enough=2)
+    for b in (batch((1, 5), (1, 6), (2, 5)), batch((1, 4), (1, 6), (2, 4), (3, 4)), batch((1, 7), (2, 3))):
+        runs.add(b)
+    # Key 1 was settled before the second batch, and again held by a later document in the third; key 2 before the third.
+    assert [rows(runs._read([p]), "k1", "n", "doc") for p in runs.levels[0]] == [[(1, 2, 6), (2, 1, 5)], [(2, 1, 4), (3, 1, 4)], [(1, 1, 7)]]
 
 
 # decontamination
