@@ -96,24 +96,24 @@ def with_captions(screens: DataFrame, provider: captions.Provider) -> DataFrame:
 
 
 def analyze(spark: SparkSession, images: DataFrame, column: str = "content", provider: ocr.Provider | None = None, captioner: captions.Provider | None = None, dedupe: bool = True) -> DataFrame:
-    """images, all columns and rows, with `record`. `column`: bytes, or base64 text.
+    """All rows of images, with `record` in place of the image. `column`: bytes, or base64 text.
 
-    With `dedupe` an image is analysed once however often it occurs, for one shuffle of the images by
-    digest; without it there is no shuffle at all, and unreadable bytes come back as null.
+    With `dedupe` an image is analysed once however often it occurs. That takes one shuffle of the images
+    by digest; back to their rows come only records. Without it there is no shuffle at all.
     """
+    others = [c for c in images.columns if c != column]
     raw = base64_bytes(column) if dict(images.dtypes)[column] == "string" else F.col(column)
-    keyed = images.withColumn("_raw", raw).withColumn("_key", F.sha2(F.coalesce("_raw", F.lit(b"")), 256))
-    named = {"_key": "key", "_raw": "content"}
-    rows = keyed.select("_key", "_raw").dropDuplicates(["_key"]) if dedupe else keyed.drop("key", "content")
-    rows = rows.withColumnsRenamed(named)
+    keyed = images.select(F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("_row"), raw.alias("content"))
+    keyed = keyed.withColumn("key", F.sha2(F.coalesce("content", F.lit(b"")), 256))
+    rows = keyed.select("key", "content").dropDuplicates(["key"]) if dedupe else keyed
     seen = rows.withColumn("_i", inspect("content")).withColumns({n: F.col(f"_i.{n}") for n in ("ok", "width", "height", "chart_visual")})
     seen = seen.withColumn("content", F.when(F.col("ok"), F.col("content"))).drop("_i")
     read = read_twice(seen, provider or ocr.local(Settings.read(spark)))
     read = with_captions(read, captioner) if captioner is not None else read.withColumn("caption", F.lit(""))
     done = compose_records(read.withColumn("digest", F.col("key")))
-    if not dedupe:  # columns named as the plan's own are not carried along
-        return done.select(*(c for c in images.columns if c in rows.columns and c not in named.values()), F.col("content").alias(column), "record")
-    return keyed.drop("_raw").join(done.select(F.col("key").alias("_key"), "record"), "_key", "left").drop("_key")
+    if dedupe:
+        done = keyed.select("_row", "key").join(done.select("key", "record"), "key", "left")
+    return done.select(*(F.col(f"_row.`{c}`") for c in others), "record")
 
 
 def analyze_screens(screens: DataFrame) -> DataFrame:

@@ -82,8 +82,11 @@ def test_analysis(spark):
     assert got["bar_up"] == got["bar_up_copy"] and got["bar_up"].digest
     for n in ("broken", "empty"):
         assert not got[n].ok and got[n].summary == "Unable to decode the uploaded image." and got[n].layout is None and got[n].digest == ""
-    text64 = df.where("content is not null").select("name", F.base64("content").alias("content"))
-    again = {r.name: r.record for r in analyze(spark, text64, provider=ocr.empty, dedupe=False).collect()}
+    text64 = df.where("content is not null").select("name", F.base64("content").alias("img"), F.lit("mine").alias("text"), F.lit(1).alias("content"), F.lit(2).alias("key"))
+    for once in (True, False):
+        out = analyze(spark, text64, "img", provider=ocr.empty, dedupe=once)
+        assert out.columns == ["name", "text", "content", "key", "record"] and out.where("text = 'mine' and content = 1 and key = 2").count() == 7
+    again = {r.name: r.record for r in out.collect()}
     assert again["bar_down"].chart_visual == got["bar_down"].chart_visual and not again["broken"].ok
 
 
