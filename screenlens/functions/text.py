@@ -35,9 +35,16 @@ def strings(*values: str) -> Column:
 
 
 def normalize(text: Column, limit: int = 900) -> Column:
-    """White space collapsed and trimmed; a longer text is cut and gets an ellipsis."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
-    return let(flat, lambda t: F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, limit - 3)), F.lit("..."))))
+    """White space collapsed and trimmed; a longer text is cut and gets an ellipsis.
+
+    What the beginning of a long text gives decides the result if it is over the limit already; only
+    texts with very much white space are looked at as a whole.
+    """
+    whole, some = F.coalesce(text, F.lit("")), limit + limit // 4 + 32
+    flat = lambda c: F.trim(F.regexp_replace(c, SPACES, " "))
+    cut = lambda t: F.concat(F.rtrim(F.substring(t, 1, limit - 3)), F.lit("..."))
+    full = lambda: let(flat(whole), lambda t: F.when(F.length(t) <= limit, t).otherwise(cut(t)))
+    return let(flat(F.substring(whole, 1, some)), lambda t: F.when(F.length(t) > limit, cut(t)).when(F.length(whole) <= some, t).otherwise(full()))
 
 
 def has_any(text: Column, tokens: tuple[str, ...]) -> Column:

@@ -16,7 +16,7 @@ GAPS = [" ", "  ", "\n", "\t", " ", "　", "\x1c", "\x85", ""]
 
 def made(n=300):
     rng = random.Random(11)
-    out = ["", " ", None, "x" * 2000, "word " * 500]
+    out = ["", " ", None, "x" * 2000, "word " * 500, " " * 3000 + "late", "a" + " " * 3000 + "b" * 2000, "ab \n " * 900]
     while len(out) < n:
         out.append("".join(rng.choice(WORDS) + rng.choice(GAPS) for _ in range(rng.choice([1, 3, 10, 60, 300]))))
     return out
