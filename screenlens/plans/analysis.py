@@ -52,7 +52,8 @@ def compose_records(screens: DataFrame) -> DataFrame:
         F.coalesce(c("backend"), F.lit("")).alias("ocr_backend"),
         F.lit(False).alias("caption_pending"),
     )
-    return df.withColumn("record", F.when(c("ok"), good).otherwise(failure(UNREADABLE))).drop("_read", "_layout", "_pre", "_scene", "_chart")
+    # Settled: a plan that takes fields of the record must not repeat the expressions behind them.
+    return df.withColumn("record", settled(F.when(c("ok"), good).otherwise(failure(UNREADABLE)))).drop("_read", "_layout", "_pre", "_scene", "_chart")
 
 
 def failure(summary: str):
