@@ -1,4 +1,4 @@
-"""Corpus pipeline: language ID, line dedup, SimHash near-dedup, benchmark decontamination, BPE.
+"""Corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination, BPE.
 
 Each stage takes what its predecessor kept. All but the last return the columns of documents.
 
@@ -44,7 +44,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates (SimHash candidates, verified: five-word shingles, similarity 0.8), the document with the smallest doc_id."""
+    """Of each component of near-duplicates (five-word shingles, similarity 0.8), the document with the smallest doc_id."""
     found = stored(narrow(neardup.near_duplicates(spark, docs), docs.count()), "components")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return without(docs, found.where(~stays).select("doc_id").subtract(found.where(stays).select("doc_id")))

@@ -1,25 +1,26 @@
-"""Near-duplicate documents by SimHash and BK-trees, verified on word shingles.
+"""Near-duplicate documents: complete candidates by prefixes of word shingle sets, each verified.
 
 Documents are near-duplicates if their sets of five-word shingles have a Jaccard similarity of 0.8 or more,
-and so are documents that a chain of such pairs joins. Candidates are pairs of SimHash fingerprints that
-differ in at most `RADIUS` bits. These fingerprints are made of word pairs: they move less than
-those of longer shingles when a word changes (copies of similarity 0.8 differ in 3 to 9 bits), while
-unrelated texts stay half their bits apart.
+and so are documents that a chain of such pairs joins. All such pairs are found: sets of that similarity
+share one of their first n - ceil(0.8 n) + 1 shingles in any common order. Here shingles that a sample finds
+frequent come last, the others in order of hash, so that few unrelated texts meet.
 
-Fingerprints meet in shards that agree on several of their blocks of bits; in each shard BK-trees
-are searched (`simhash.BKTree`), and shards of a few fingerprints are compared whole. Pairs that differ
-in at most six bits meet for certain, those of seven to nine with high probability. Of a shard's
-pairs only those of a spanning forest go on, the closest first. Equal texts (up to case and white
-space) are one node from the start. Every candidate is verified on the whole texts.
+Texts meet in cells, one for a shingle; a frequent shingle has one for every two classes of texts, so that
+none grows with the corpus. Each text has a parity bitmap of its set: two bitmaps differ in no more bits than
+the sets in shingles, so pairs too far apart go without loss. All other pairs of small cells are verified; of larger
+ones first a spanning forest, the closest first, and then all pairs that verified links have not joined. Equal texts (up to case and white space) are one node from the start.
 
 Defined results: texts without words are all alike; a text with fewer words than a shingle is one shingle;
 a null doc_id never names a component that has another id; each row gets its line; other columns are
 ignored.
+
+`links` gives candidates by fingerprints (BK-trees in shards that agree on blocks of bits); `near_duplicates` does not use it.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,12 @@ CROWD = 64
 SMALL, SORTED = 24, 2048
 TREE = 4096
 NEEDED = 500_000
+#: Texts in which frequent shingles are looked for, and how many of these shingles are told apart at most.
+SAMPLE, FREQUENT = 10_000, 200_000
+#: Texts of a class of a frequent shingle, about; cells up to FEW have their pairs verified at once.
+CLASS, FEW = 512, 8
+#: Bits of a bitmap; comparisons made at once.
+BITS, STEP = 1024, 500_000
 
 
 def text_id(text: str | None) -> int:
@@ -201,21 +208,213 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.col("j") >= similarity).select("a", "b")
 
 
+def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that are frequent in a sample of docs (text), and how many texts have each by estimate."""
+    rows = docs.count()
+    most = max(1, rows // SAMPLE)
+
+    def run(batches):
+        seen = set()
+        for b in batches:
+            out = [np.zeros(0, np.uint64)]
+            for t in b.column("text").to_pylist():
+                if (tid := text_id(t)) not in seen:
+                    seen.add(tid)
+                    out.append(np.unique(np.array(shingle_hashes(t, words), dtype=np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["shingle"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(most)) == 0).select("text").mapInArrow(tidy(run), "shingle long")
+    top = some.groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()
+    h, n = top.column("shingle").to_numpy().view(np.uint64), top.column("count").to_numpy() * most
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def mixed(h: int, s: int, t: int) -> int:
+    x = xxhash.xxh64_intdigest(b"%d %d %d" % (h, s, t), 11)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def cells(tid: int, h: np.ndarray, hot: np.ndarray, counts: np.ndarray, similarity: float, many: int = CLASS) -> np.ndarray:
+    """The cells of a text with the sorted shingles h; classes of a frequent one have about `many` texts."""
+    size = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+    at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
+    known = hot[at] == h if len(hot) else np.zeros(len(h), bool)
+    out = h[~known][:size].view(np.int64)
+    if len(out) == size:
+        return out
+    common, n = h[known], counts[at[known]]
+    more = []
+    for k in np.lexsort((common, n))[: size - len(out)].tolist():
+        classes = -(-int(n[k]) // many)
+        if classes == 1:
+            more.append(int(common[k : k + 1].view(np.int64)[0]))
+        else:
+            own = tid % classes
+            more += [mixed(int(common[k]), min(own, c), max(own, c)) for c in range(classes)]
+    return np.concatenate([out, np.array(more, dtype=np.int64)])
+
+
+def prefixes(docs: DataFrame, hot, words: int, similarity: float) -> DataFrame:
+    """(doc_id, tid, n, bits, cells) of every row of docs (doc_id, text): a task gives the last three for one of equal texts."""
+
+    def run(batches):
+        seen = set()
+        for b in batches:
+            ids, size, bits, where = [], [], [], []
+            for t in b.column("text").to_pylist():
+                ids.append(text_id(t))
+                new = ids[-1] not in seen
+                seen.add(ids[-1])
+                h = np.unique(np.array(shingle_hashes(t, words) if new else [], dtype=np.uint64))
+                size.append(len(h))
+                bits.append(np.packbits(np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2 == 1).tobytes() if len(h) else None)
+                where.append(cells(ids[-1], h, *hot.value, similarity, CLASS) if len(h) else np.zeros(0, np.int64))
+            ends = np.cumsum([0, *map(len, where)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *where])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), lists], names=["doc_id", "tid", "n", "bits", "cells"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, tid long, n int, bits binary, cells array<long>")
+
+
+def whole_cells(batches, least: int):
+    """Columns of rows that are sorted by cell, in parts of `least` rows or more that end with a cell."""
+    held, many = [], 0
+    for b in batches:
+        held.append(b)
+        many += b.num_rows
+        if many >= least:
+            t = pa.Table.from_batches(held).combine_chunks()
+            cell = t.column("cell").to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
+            if cut:
+                yield t.slice(0, cut)
+            held, many = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
+            least = max(least, 2 * many)
+    if many:
+        yield pa.Table.from_batches(held)
+
+
+def far(n, m, similarity: float):
+    """The most shingles in which two sets of n and m can differ."""
+    return (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
+
+
+def meetings(table: DataFrame, similarity: float) -> DataFrame:
+    """(cell, a, b): pairs that meet in small cells (cell is null), and the texts a of each larger cell."""
+
+    def run(batches):
+        for t in whole_cells(batches, 100_000):
+            cell, tid, n = (t.column(c).to_numpy() for c in ("cell", "tid", "n"))
+            new = np.append(True, (cell[1:] != cell[:-1]) | (tid[1:] != tid[:-1]))
+            cell, tid, n = cell[new], tid[new], n[new].astype(np.int64)
+            starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            sizes = np.diff(np.append(starts, len(cell)))
+            pairs = [np.zeros((0, 2), np.int64)]
+            for size in range(2, FEW + 1):
+                at = starts[sizes == size]
+                for i in range(size if len(at) else 0):
+                    for j in range(i):
+                        ok = np.abs(n[at + i] - n[at + j]) <= far(n[at + i], n[at + j], similarity)
+                        pairs.append(np.stack([tid[at + j][ok], tid[at + i][ok]], axis=1))
+            pairs = np.unique(np.concatenate(pairs), axis=0)
+            large = np.repeat(sizes > FEW, sizes)
+            k, m = len(pairs), int(large.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(np.zeros(k, np.int64), cell[large]), mask=np.arange(k + m) < k), pa.array(np.append(pairs[:, 0], tid[large])), pa.array(np.append(pairs[:, 1], np.zeros(m, np.int64)), mask=np.arange(k + m) >= k)],
+                names=["cell", "a", "b"],
+            )
+
+    rows = table.select(F.explode("cells").alias("cell"), "tid", "n")
+    return rows.repartition("cell").sortWithinPartitions("cell", "tid").mapInArrow(tidy(run), "cell long, a long, b long")
+
+
+def alike(pairs: DataFrame, bitmaps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose bitmaps (tid, n, bits) let them be similar."""
+
+    @F.arrow_udf("int")
+    def apart(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint64).reshape(len(v), -1) for v in (a, b))
+        return pa.array(np.bitwise_count(x ^ y).sum(1).astype(np.int32))
+
+    one, two = (bitmaps.select(F.col("tid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", apart.asNondeterministic()("bits_a", "bits_b").alias("d"))
+    return both.where(F.col("d") <= far(F.col("n_a"), F.col("n_b"), similarity)).select("a", "b")
+
+
+def crowd_pairs(crowds: DataFrame, similarity: float, spanning: bool) -> DataFrame:
+    """(a, b): pairs of a cell of crowds (cell, tid, n, bits, part) whose parts differ and whose bitmaps let them be similar; or only a spanning forest of a cell's pairs, the closest first."""
+
+    def near(tid, n, bits, part):
+        for s in range(0, len(tid), max(1, STEP // len(tid))):
+            e = min(len(tid), s + max(1, STEP // len(tid)))
+            d = np.zeros((e - s, len(tid)), np.int64)
+            for w in range(bits.shape[1]):
+                d += np.bitwise_count(bits[s:e, w, None] ^ bits[None, :, w])
+            d = np.maximum(d, np.abs(n[s:e, None] - n))
+            ok = (d <= far(n[s:e, None], n, similarity)) & (part[s:e, None] != part) & (np.arange(len(tid)) > np.arange(s, e)[:, None])
+            a, b = np.nonzero(ok)
+            yield a + s, b, d[a, b]
+
+    def run(batches):
+        for t in whole_cells(batches, 4_000):
+            cell, tid, n, part = (t.column(c).to_numpy() for c in ("cell", "tid", "n", "part"))
+            new = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (tid[1:] != tid[:-1])))
+            cell, tid, n, part = cell[new], tid[new], n[new].astype(np.int64), part[new]
+            bits = np.frombuffer(b"".join(t.column("bits").take(pa.array(new)).to_pylist()), np.uint64).reshape(len(new), -1)
+            starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            found = []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=True):
+                f, held = Forest(e - s), []
+                for a, b, d in near(tid[s:e], n[s:e], bits[s:e], part[s:e]):
+                    if spanning:
+                        # What joins nothing new among these pairs joins nothing new among more of them.
+                        at = np.array(list(Forest(e - s).add(a, b, d)), dtype=np.int64).reshape(-1, 2)
+                        lookup = np.bitwise_count(bits[s + at[:, 0]] ^ bits[s + at[:, 1]]).sum(1)
+                        held.append((at[:, 0], at[:, 1], lookup))
+                    else:
+                        found.append(np.stack([tid[s + a], tid[s + b]], axis=1))
+                if held:
+                    at = np.array(list(f.add(*(np.concatenate(x) for x in zip(*held, strict=True)))), dtype=np.int64).reshape(-1, 2)
+                    found.append(tid[s + at])
+                if sum(map(len, found)) > STEP:
+                    yield pairs(found)
+                    found = []
+            yield pairs(found)
+
+    def pairs(found):
+        x = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+    return crowds.select("cell", "tid", "n", "bits", "part").repartition("cell").sortWithinPartitions("cell", "tid").mapInArrow(tidy(run), "a long, b long").distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id of every row of docs (doc_id, text)."""
     tune(spark)
-    table = stored(sketches(docs), "sketches")
+    table = stored(prefixes(docs, spark.sparkContext.broadcast(frequent(docs, words)), words, similarity), "prefixes")
     rows = table.count()
-    texts = stored(narrow(table.groupBy("tid").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), rows), "texts")
-    classes = stored(narrow(texts.groupBy("fp").agg(F.min("tid").alias("head")), rows), "classes")
-    pairs = links(classes.select("fp"), classes.count())
-    head = lambda c: classes.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
-    between = pairs.join(head("a"), "a").join(head("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
-    within = texts.join(classes, "fp").where("tid <> head").select(F.col("tid").alias("a"), F.col("head").alias("b"))
-    edges = stored(narrow(between.unionByName(within), rows), "candidates")
-    sets = shingle_sets(docs, edges.select(F.col("a").alias("tid")).unionByName(edges.select(F.col("b").alias("tid"))), words)
-    root = components(verified(edges, stored(sets, "shingles"), similarity), nodes=rows)
+    texts = stored(narrow(table.groupBy("tid").agg(F.min("doc_id").alias("least")), rows), "texts")
+    met = stored(meetings(table, similarity), "meetings")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        edges = stored(narrow(pairs), "candidates")
+        sets = shingle_sets(docs, edges.select(F.col("a").alias("tid")).unionByName(edges.select(F.col("b").alias("tid"))), words)
+        return stored(narrow(verified(edges, stored(sets, "shingles"), similarity)), "similar")
+
+    crowds = met.where("cell is not null").select("cell", F.col("a").alias("tid"))
+    bitmaps = stored(narrow(table.where("n > 0").select("tid", "n", "bits").dropDuplicates(["tid"])), "bitmaps")
+    crowds = stored(crowds.join(bitmaps, "tid"), "crowds")
+    few = alike(met.where("cell is null").select("a", "b").distinct(), bitmaps, similarity)
+    edges = similar(few.unionByName(crowd_pairs(crowds.withColumn("part", F.col("tid")), similarity, True)).distinct())
+    root = components(edges, nodes=rows)
+    if crowds.limit(1).count():
+        parts = root.select(F.col("node").alias("tid"), F.col("root").alias("part"))
+        apart = crowds.join(parts, "tid", "left").withColumn("part", F.coalesce("part", "tid"))
+        more = similar(crowd_pairs(apart, similarity, False))
+        if more.limit(1).count():
+            root = components(edges.unionByName(more), nodes=rows)
     linked = texts.join(root.withColumnRenamed("node", "tid"), "tid")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("tid", "component_id")
     label = texts.join(named, "tid", "left").select("tid", F.coalesce("component_id", "least").alias("component_id"))
-    return table.join(label, "tid").select("doc_id", "component_id")
+    return table.select("doc_id", "tid").join(label, "tid").select("doc_id", "component_id")

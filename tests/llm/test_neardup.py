@@ -95,3 +95,29 @@ def test_links(spark):
         for j in np.flatnonzero(np.bitwise_count(v[:i] ^ v[i]) <= 6).tolist():
             assert f.root(i) == f.root(j)
     assert [neardup.scheme(n) for n in (10, 4_000_000, 10**9)] == [(8, 2), (8, 2), (10, 4)]
+
+
+def found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return {r.doc_id: r.component_id for r in neardup.near_duplicates(spark, df).collect()}
+
+
+def prose(rng, words, n):
+    return [rng.choice(words) for _ in range(n)]
+
+
+def test_cut_and_extended_copies(spark):
+    """Copies that lack their end or middle, or go on with other prose, are all found."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(500)]
+    texts = []
+    for n in (30, 60, 100, 300, 1000, 2000):
+        for share in (0.1, 0.13, 0.16, 0.19):
+            base, k = prose(rng, words, n), int(n * share)
+            texts += [base, base[: n - k], base + prose(rng, words, k)]
+            base = prose(rng, words, n)
+            texts += [base, base[: n // 2] + base[n // 2 + k :]]
+    texts = [" ".join(t) for t in texts]
+    want = brute(list(enumerate(texts)))
+    assert sum(want[d] != d for d in want) > 50
+    assert found(spark, texts) == want
