@@ -121,3 +121,25 @@ def test_cut_and_extended_copies(spark):
     want = brute(list(enumerate(texts)))
     assert sum(want[d] != d for d in want) > 50
     assert found(spark, texts) == want
+
+
+def template(rng, words, n):
+    """Texts of one template, 4 % of the words edited in each, some with a close twin."""
+    base, out = prose(rng, words, 200), []
+    for _ in range(n):
+        t = [rng.choice(words) if rng.random() < 0.04 else w for w in base]
+        out.append(" ".join(t))
+        if rng.random() < 0.4:
+            t[rng.randrange(len(t))] = rng.choice(words)
+            out.append(" ".join(t))
+    return out
+
+
+def test_template_with_twins(spark):
+    """Candidates that fail verification hide no true pair."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(500)]
+    texts = template(rng, words, 300)
+    want = brute(list(enumerate(texts)))
+    assert sum(want[d] != d for d in want) > 80
+    assert found(spark, texts) == want
