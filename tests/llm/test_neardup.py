@@ -143,3 +143,19 @@ def test_template_with_twins(spark):
     want = brute(list(enumerate(texts)))
     assert sum(want[d] != d for d in want) > 80
     assert found(spark, texts) == want
+
+
+def test_same_at_every_size(spark, monkeypatch):
+    """Neither the number of texts nor the size of cells and classes decides what is found."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(500)]
+    texts = template(rng, words, 80)
+    for n in range(60, 300, 6):
+        base = prose(rng, words, n)
+        texts += [" ".join(base), " ".join(base[: n - n * 17 // 100])]
+    want = brute(list(enumerate(texts)))
+    monkeypatch.setattr(neardup, "scheme", lambda n: neardup.SCHEMES[-1])  # as for the largest inputs
+    for few, texts_of_class in ((8, 512), (2, 512), (3, 20)):
+        monkeypatch.setattr(neardup, "FEW", few, raising=False)
+        monkeypatch.setattr(neardup, "CLASS", texts_of_class, raising=False)
+        assert found(spark, texts) == want
