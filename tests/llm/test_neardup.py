@@ -159,3 +159,17 @@ def test_same_at_every_size(spark, monkeypatch):
         monkeypatch.setattr(neardup, "FEW", few, raising=False)
         monkeypatch.setattr(neardup, "CLASS", texts_of_class, raising=False)
         assert found(spark, texts) == want
+
+
+def test_one_phrase_repeated(spark):
+    """Texts whose fingerprints are equal for a repeated word, whatever else they hold."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(500)]
+    texts = []
+    for _ in range(20):
+        own = prose(rng, words, 90)
+        texts += [" ".join(own + ["la"] * 150), " ".join(own[:-5] + ["la"] * 150)]
+    assert len({int(x) for x in neardup.fingerprints(texts, neardup.SKETCH)}) == 1
+    want = brute(list(enumerate(texts)))
+    assert sum(want[d] != d for d in want) == 20
+    assert found(spark, texts) == want
