@@ -10,6 +10,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: bounds what a Python worker holds at once when texts are long.
 BATCH_ROWS = 500
@@ -54,9 +55,30 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def known_small(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
-    """A table written to the shared folder, and whether it has at most so many rows: only then may it be broadcast."""
-    df = stored(narrow(df, rows), "side")
-    return df, df.limit(rows + 1).count() <= rows
+    """A table written to the shared folder, and whether it has at most so many rows: only then may it be broadcast.
+
+    It is written by as many tasks as compute it; few read it only once it is known to be small.
+    """
+    df = stored(df, "side")
+    small = df.limit(rows + 1).count() <= rows
+    return (narrow(df, rows) if small else df), small
+
+
+#: A key with more than one in so many rows is hot; fewer than that many keys can be.
+SHARE = 2048
+
+
+def by_key(rows: DataFrame, label: DataFrame, key: str, count: str = "count") -> DataFrame:
+    """rows joined with label (key, count: rows that have it, ...), whose every key is once in it.
+
+    Hot keys are fewer than SHARE, whatever the size: their labels are broadcast, so that their rows stay
+    where they are. The others meet by shuffle, and none has more than one in SHARE rows.
+    """
+    label = stored(label, "label")
+    total = label.agg(F.sum(count)).first()[0] or 0
+    hot = label.where(F.col(count) * SHARE > total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(label.where(F.col(count) * SHARE <= total), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def release() -> None:

@@ -1,25 +1,30 @@
-"""Near-duplicate documents: complete candidates by prefixes of word shingle sets, each verified.
+"""Near-duplicate documents: SimHash candidates from BK-trees, completed by prefixes of word shingle sets, each verified.
 
 Documents are near-duplicates if their sets of five-word shingles have a Jaccard similarity of 0.8 or more,
-and so are documents that a chain of such pairs joins. All such pairs are found: sets of that similarity
-share one of their first n - ceil(0.8 n) + 1 shingles in any common order. Here shingles that a sample finds
-frequent come last, the others in order of hash, so that few unrelated texts meet.
-
-Texts meet in cells, one for a shingle; a frequent shingle has one for every two classes of texts, so that
-none grows with the corpus. Each text has a parity bitmap of its set: two bitmaps differ in no more bits than
-the sets in shingles, so pairs too far apart go without loss. All other pairs of small cells are verified; of larger
-ones first a spanning forest, the closest first, and then all pairs that verified links have not joined. Equal texts (up to case and white space) are one node from the start.
-
-Defined results: texts without words are all alike; a text with fewer words than a shingle is one shingle;
-a null doc_id never names a component that has another id; each row gets its line; other columns are
-ignored.
-
-`links` gives candidates by fingerprints (BK-trees in shards that agree on blocks of bits); `near_duplicates` does not use it.
+and so are documents that a chain of such pairs joins. All such pairs are joined:
+
+1. SimHash fingerprints of the shingles meet in `simhash.links` (BK-trees in shards). The links found, and texts of one
+   fingerprint, are verified; that joins most copies. Copies of similarity 0.8 differ in ten bits on average, and in
+   more than any radius that shards by bits can serve, so links by fingerprints alone would lose pairs.
+2. Sets of that similarity share one of their first n - ceil(0.8 n) + 1 shingles in any common order. Here shingles that
+   a sample finds frequent come last, the others in order of hash, so that few unrelated texts meet. Texts meet in
+   cells, one for a shingle.
+3. Each text has a parity bitmap of its set, four bits or more a shingle: two bitmaps differ in no more bits than the sets in
+   shingles, so pairs too far apart go without loss. All other pairs of small cells are verified. A larger
+   cell whose texts are all joined already is done. Of the others first a spanning forest between the parts is verified,
+   the closest first, and then all pairs that verified links have not joined. A cell of many texts is compared by
+   pairs of classes, so that no task holds a whole one.
+
+The sample decides only the order, and the sizes at which cells are split only the dealing: the pairs found are the same.
+Equal texts (up to case and white space) are one node from the start.
+
+Defined results: texts without words are all alike; a text with fewer words than a shingle is one shingle; texts are
+read whole, whatever their length; a null doc_id never names a component that has another id; each row gets its
+line; an empty table gives none; ties in order go by hash; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -28,25 +33,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import known_small, narrow, stored, tidy, tune
-from .simhash import BKTree, blocks, components, fingerprints, shingle_hashes
+from .common import by_key, known_small, narrow, stored, tidy, tune
+from .simhash import components, fold, links, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-SKETCH, RADIUS = 2, 9
-#: Blocks of bits, and how many of them a shard agrees on: all leave six bits for certain.
-SCHEMES = ((8, 2), (9, 3), (10, 4), (11, 5), (12, 6))
-#: Fingerprints of a shard, on average, up to which a scheme serves.
-CROWD = 64
-#: Shards up to this size are compared whole; those up to the second have their pairs sorted at once.
-SMALL, SORTED = 24, 2048
-TREE = 4096
 NEEDED = 500_000
 #: Texts in which frequent shingles are looked for, and how many of these shingles are told apart at most.
 SAMPLE, FREQUENT = 10_000, 200_000
-#: Texts of a class of a frequent shingle, about; cells up to FEW have their pairs verified at once.
+#: Texts of a class of a large cell; cells up to FEW have their pairs verified at once.
 CLASS, FEW = 512, 8
-#: Bits of a bitmap; comparisons made at once.
-BITS, STEP = 1024, 500_000
+#: Least bits of a bitmap; comparisons made at once.
+BITS, STEP = 256, 500_000
 
 
 def text_id(text: str | None) -> int:
@@ -55,22 +52,6 @@ def text_id(text: str | None) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, fp) of every row of docs (doc_id, text)."""
-
-    def run(batches):
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(text_id, texts), pa.int64()), pa.array(fingerprints(texts, SKETCH), pa.int64())], names=["doc_id", "tid", "fp"])
-
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, tid long, fp long")
-
-
-def scheme(n: int) -> tuple[int, int]:
-    """The first scheme whose shards have at most CROWD of n fingerprints on average."""
-    return next(((b, m) for b, m in SCHEMES if n / 2 ** (64 * m / b) <= CROWD), SCHEMES[-1])
-
-
 class Forest:
     """Links between places that join what they connect, without rings."""
 
@@ -84,84 +65,18 @@ class Forest:
             x = p[x]
         return x
 
-    def add(self, a: np.ndarray, b: np.ndarray, d: np.ndarray):
-        """The links among pairs that join something new, the closest first."""
+    def add(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Places of the links that join something new, the closest first."""
+        out = []
         for k in np.argsort(d, kind="stable").tolist():
             if not self.left:
-                return
+                break
             x, y = self.root(int(a[k])), self.root(int(b[k]))
             if x != y:
                 self.parent[x] = y
                 self.left -= 1
-                yield int(a[k]), int(b[k])
-
-
-def shard_pairs(fp: np.ndarray, radius: int):
-    """Links of one larger shard (unsigned fingerprints), from BK-trees."""
-    f = Forest(len(fp))
-    held: list[tuple] = []
-    for k in range(0, len(fp), TREE):
-        for who, node in BKTree(fp[k : k + TREE]).search(fp[k:], radius):
-            a, b = who[who > node] + k, node[who > node] + k
-            held.append((a, b, np.bitwise_count(fp[a] ^ fp[b])))
-            if len(fp) > SORTED:
-                yield from f.add(*held.pop())
-    if held:
-        yield from f.add(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-
-def small_pairs(fp: np.ndarray, starts: np.ndarray, size: int, radius: int):
-    """All pairs within the radius of shards of one size that begin at `starts`."""
-    rows = fp[starts[:, None] + np.arange(size)]
-    for i in range(size):
-        for j in range(i):
-            hit = np.bitwise_count(rows[:, i] ^ rows[:, j]) <= radius
-            if hit.any():
-                yield rows[hit, j], rows[hit, i]
-
-
-def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """(a, b): candidate pairs among the n distinct fingerprints of fps (fp)."""
-    parts, agree = scheme(n)
-    cuts = blocks(list(range(64)), parts)
-    masks = [sum(1 << x for c in chosen for x in c) for chosen in itertools.combinations(cuts, agree)]
-    key = lambda k, m: F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)))
-    shards = fps.select("fp", F.explode(F.array(*(key(k, m) for k, m in enumerate(masks)))).alias("shard"))
-
-    def run(batches):
-        keys, values, many = [], [], 0
-
-        def found(key, fp):
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            sizes = np.diff(np.append(starts, len(key)))
-            a, b = [], []
-            for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
-                for x, y in small_pairs(fp, starts[sizes == size], size, radius):
-                    a.append(x)
-                    b.append(y)
-            for s, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-                part = fp[s : s + size]
-                at = np.array(list(shard_pairs(part, radius)), dtype=np.int64).reshape(-1, 2)
-                a.append(part[at[:, 0]])
-                b.append(part[at[:, 1]])
-            join = lambda x: pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([join(a), join(b)], names=["a", "b"])
-
-        for batch in batches:
-            keys.append(batch.column("shard").to_numpy())
-            values.append(batch.column("fp").to_numpy().view(np.uint64))
-            many += batch.num_rows
-            if many >= 200_000:
-                key, fp = np.concatenate(keys), np.concatenate(values)
-                other = np.flatnonzero(key != key[-1])  # the last shard may go on
-                cut = int(other[-1]) + 1 if len(other) else 0
-                if cut:
-                    yield found(key[:cut], fp[:cut])
-                keys, values, many = [key[cut:]], [fp[cut:]], 0
-        if many or keys:
-            yield found(np.concatenate(keys), np.concatenate(values))
-
-    return shards.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(tidy(run), "a long, b long").distinct()
+                out.append(k)
+        return np.array(out, dtype=np.int64)
 
 
 def shingle_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
@@ -230,51 +145,49 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def mixed(h: int, s: int, t: int) -> int:
-    x = xxhash.xxh64_intdigest(b"%d %d %d" % (h, s, t), 11)
-    return x - (1 << 64) if x >> 63 else x
-
-
-def cells(tid: int, h: np.ndarray, hot: np.ndarray, counts: np.ndarray, similarity: float, many: int = CLASS) -> np.ndarray:
-    """The cells of a text with the sorted shingles h; classes of a frequent one have about `many` texts."""
+def first_shingles(h: np.ndarray, hot: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a text with the sorted shingles h, as many as decide: those that are not frequent, and then the least frequent of the others."""
     size = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
     at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
     known = hot[at] == h if len(hot) else np.zeros(len(h), bool)
-    out = h[~known][:size].view(np.int64)
-    if len(out) == size:
-        return out
-    common, n = h[known], counts[at[known]]
-    more = []
-    for k in np.lexsort((common, n))[: size - len(out)].tolist():
-        classes = -(-int(n[k]) // many)
-        if classes == 1:
-            more.append(int(common[k : k + 1].view(np.int64)[0]))
-        else:
-            own = tid % classes
-            more += [mixed(int(common[k]), min(own, c), max(own, c)) for c in range(classes)]
-    return np.concatenate([out, np.array(more, dtype=np.int64)])
-
-
-def prefixes(docs: DataFrame, hot, words: int, similarity: float) -> DataFrame:
-    """(doc_id, tid, n, bits, cells) of every row of docs (doc_id, text): a task gives the last three for one of equal texts."""
+    rare = h[~known][:size]
+    common = h[known]
+    last = np.lexsort((common, counts[at[known]]))[: size - len(rare)] if len(rare) < size else []
+    return rare.view(np.int64), common[last].view(np.int64)
+
+
+def bitmap(h: np.ndarray) -> bytes:
+    """The parity of the number of shingles on each bit; a power of two of bits."""
+    bits = max(BITS, 1 << (4 * len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) % 2 == 1).tobytes()
+
+
+NODES = "doc_id long, tid long, n int, fp long, bits binary, rare array<long>, common array<long>"
+
+
+def nodes(docs: DataFrame, hot, words: int, similarity: float) -> DataFrame:
+    """NODES of every row of docs (doc_id, text): a task gives all but the first two for one of equal texts."""
 
     def run(batches):
         seen = set()
         for b in batches:
-            ids, size, bits, where = [], [], [], []
+            ids, new, hashes = [], [], []
             for t in b.column("text").to_pylist():
                 ids.append(text_id(t))
-                new = ids[-1] not in seen
+                new.append(ids[-1] not in seen)
                 seen.add(ids[-1])
-                h = np.unique(np.array(shingle_hashes(t, words) if new else [], dtype=np.uint64))
-                size.append(len(h))
-                bits.append(np.packbits(np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2 == 1).tobytes() if len(h) else None)
-                where.append(cells(ids[-1], h, *hot.value, similarity, CLASS) if len(h) else np.zeros(0, np.int64))
-            ends = np.cumsum([0, *map(len, where)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *where])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), lists], names=["doc_id", "tid", "n", "bits", "cells"])
+                hashes.append(np.array(shingle_hashes(t, words) if new[-1] else [], dtype=np.uint64))
+            fps = np.concatenate([fold(hashes[k : k + 64]) for k in range(0, len(hashes), 64)]) if hashes else np.zeros(0, np.int64)
+            sets = [np.unique(h) for h in hashes]
+            firsts = [first_shingles(h, *hot.value, similarity) if len(h) else (h.view(np.int64),) * 2 for h in sets]
+            old = ~np.array(new, dtype=bool)
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f[k]) for f in firsts)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in firsts)]))) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(ids, pa.int64()), pa.array(np.array([len(h) for h in sets], np.int32), mask=old), pa.array(fps, mask=old), pa.array([bitmap(h) if len(h) else None for h in sets], pa.binary()), *lists],
+                names=["doc_id", "tid", "n", "fp", "bits", "rare", "common"],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, tid long, n int, bits binary, cells array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), NODES)
 
 
 def whole_cells(batches, least: int):
@@ -325,96 +238,140 @@ def meetings(table: DataFrame, similarity: float) -> DataFrame:
                 names=["cell", "a", "b"],
             )
 
-    rows = table.select(F.explode("cells").alias("cell"), "tid", "n")
+    rows = table.select(F.explode("rare").alias("cell"), "tid", "n")
     return rows.repartition("cell").sortWithinPartitions("cell", "tid").mapInArrow(tidy(run), "cell long, a long, b long")
 
 
-def alike(pairs: DataFrame, bitmaps: DataFrame, similarity: float) -> DataFrame:
+def together(a: bytes, b: bytes) -> int:
+    """In how many bits two bitmaps differ; the longer one is folded."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose bitmaps (tid, n, bits) let them be similar."""
 
     @F.arrow_udf("int")
     def apart(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint64).reshape(len(v), -1) for v in (a, b))
-        return pa.array(np.bitwise_count(x ^ y).sum(1).astype(np.int32))
+        return pa.array([together(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
 
-    one, two = (bitmaps.select(F.col("tid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", apart.asNondeterministic()("bits_a", "bits_b").alias("d"))
+    one, two = (texts.select(F.col("tid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b").where(F.abs(F.col("n_a") - F.col("n_b")) <= far(F.col("n_a"), F.col("n_b"), similarity))
+    both = both.select("a", "b", "n_a", "n_b", apart.asNondeterministic()("bits_a", "bits_b").alias("d"))
     return both.where(F.col("d") <= far(F.col("n_a"), F.col("n_b"), similarity)).select("a", "b")
 
 
+def close_pairs(n: np.ndarray, bits: list[bytes], part: np.ndarray, side: np.ndarray, similarity: float):
+    """(a, b, bits that differ) of places whose parts differ and whose bitmaps let them be similar; in portions. Of two sides only pairs across are given."""
+    side = side if (side != side[0]).any() else np.arange(len(side))
+    size = np.array([len(x) for x in bits])
+    for width in np.unique(size).tolist():
+        at = np.flatnonzero(size == width)
+        own = np.frombuffer(b"".join(bits[k] for k in at), np.uint64).reshape(len(at), -1)
+        yield from _compare(n, part, side, at, own, at, own, similarity)
+        # Similar sets differ by a quarter in size at most, and their bitmaps by one doubling.
+        less = np.flatnonzero(size == width // 2)
+        if len(less):
+            half = own.shape[1] // 2
+            yield from _compare(n, part, side, less, np.frombuffer(b"".join(bits[k] for k in less), np.uint64).reshape(len(less), -1), at, own[:, :half] ^ own[:, half:], similarity)
+
+
+def _compare(n, part, side, x, mine, y, others, similarity: float):
+    step = max(1, STEP // len(y))
+    for s in range(0, len(x), step):
+        i = x[s : s + step]
+        d = np.zeros((len(i), len(y)), np.int32)
+        for w in range(mine.shape[1]):
+            d += np.bitwise_count(mine[s : s + step, w, None] ^ others[None, :, w])
+        d = np.maximum(d, np.abs(n[i][:, None] - n[y]))
+        ok = (d <= far(n[i][:, None], n[y], similarity)) & (part[i][:, None] != part[y]) & (side[i][:, None] != side[y])
+        if x is y:
+            ok &= y > i[:, None]
+        a, b = np.nonzero(ok)
+        yield i[a], y[b], d[a, b]
+
+
 def crowd_pairs(crowds: DataFrame, similarity: float, spanning: bool) -> DataFrame:
-    """(a, b): pairs of a cell of crowds (cell, tid, n, bits, part) whose parts differ and whose bitmaps let them be similar; or only a spanning forest of a cell's pairs, the closest first."""
-
-    def near(tid, n, bits, part):
-        for s in range(0, len(tid), max(1, STEP // len(tid))):
-            e = min(len(tid), s + max(1, STEP // len(tid)))
-            d = np.zeros((e - s, len(tid)), np.int64)
-            for w in range(bits.shape[1]):
-                d += np.bitwise_count(bits[s:e, w, None] ^ bits[None, :, w])
-            d = np.maximum(d, np.abs(n[s:e, None] - n))
-            ok = (d <= far(n[s:e, None], n, similarity)) & (part[s:e, None] != part) & (np.arange(len(tid)) > np.arange(s, e)[:, None])
-            a, b = np.nonzero(ok)
-            yield a + s, b, d[a, b]
+    """(a, b): pairs of a cell of crowds (cell, tid, n, bits, part, side) whose parts differ and whose bitmaps let them be similar; or only a spanning forest of a cell's parts, the closest first."""
 
     def run(batches):
-        for t in whole_cells(batches, 4_000):
-            cell, tid, n, part = (t.column(c).to_numpy() for c in ("cell", "tid", "n", "part"))
-            new = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (tid[1:] != tid[:-1])))
-            cell, tid, n, part = cell[new], tid[new], n[new].astype(np.int64), part[new]
-            bits = np.frombuffer(b"".join(t.column("bits").take(pa.array(new)).to_pylist()), np.uint64).reshape(len(new), -1)
+        for t in whole_cells(batches, 2_000):
+            cell, tid, n, part, side = (t.column(c).to_numpy() for c in ("cell", "tid", "n", "part", "side"))
+            n, bits = n.astype(np.int64), t.column("bits").to_pylist()
             starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
             found = []
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=True):
-                f, held = Forest(e - s), []
-                for a, b, d in near(tid[s:e], n[s:e], bits[s:e], part[s:e]):
-                    if spanning:
-                        # What joins nothing new among these pairs joins nothing new among more of them.
-                        at = np.array(list(Forest(e - s).add(a, b, d)), dtype=np.int64).reshape(-1, 2)
-                        lookup = np.bitwise_count(bits[s + at[:, 0]] ^ bits[s + at[:, 1]]).sum(1)
-                        held.append((at[:, 0], at[:, 1], lookup))
-                    else:
-                        found.append(np.stack([tid[s + a], tid[s + b]], axis=1))
+                parts, own = np.unique(part[s:e], return_inverse=True)
+                if len(parts) == 1:
+                    continue
+                held = []
+                for a, b, d in close_pairs(n[s:e], bits[s:e], own, side[s:e], similarity):
+                    # What joins nothing new among these pairs joins nothing new among more of them.
+                    k = Forest(len(parts)).add(own[a], own[b], d) if spanning else slice(None)
+                    held.append((a[k], b[k], d[k]))
                 if held:
-                    at = np.array(list(f.add(*(np.concatenate(x) for x in zip(*held, strict=True)))), dtype=np.int64).reshape(-1, 2)
-                    found.append(tid[s + at])
+                    a, b, d = (np.concatenate(x) for x in zip(*held, strict=True))
+                    k = Forest(len(parts)).add(own[a], own[b], d) if spanning else slice(None)
+                    found.append(np.stack([tid[s + a[k]], tid[s + b[k]]], axis=1))
                 if sum(map(len, found)) > STEP:
                     yield pairs(found)
                     found = []
             yield pairs(found)
 
     def pairs(found):
-        x = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        x = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
-    return crowds.select("cell", "tid", "n", "bits", "part").repartition("cell").sortWithinPartitions("cell", "tid").mapInArrow(tidy(run), "a long, b long").distinct()
+    return crowds.select("cell", "tid", "n", "bits", "part", "side").repartition("cell").sortWithinPartitions("cell", "tid").mapInArrow(tidy(run), "a long, b long").distinct()
+
+
+def open_cells(crowds: DataFrame, texts: DataFrame, root: DataFrame) -> DataFrame:
+    """(cell, tid, n, bits, part, side): the rows of crowds (cell, tid) in cells whose texts are not joined yet. Cells of over CLASS texts are dealt as pairs of classes (the sides)."""
+    parts = root.select(F.col("node").alias("tid"), F.col("root").alias("part"))
+    rows = stored(crowds.join(parts, "tid", "left").select("cell", "tid", F.coalesce("part", "tid").alias("part")), "parts")
+    label = rows.groupBy("cell").agg(F.count("*").alias("count"), (F.min("part") < F.max("part")).alias("mixed"))
+    k = F.ceil(F.col("count") / CLASS).cast("long")
+    own = F.pmod(F.xxhash64("tid"), F.col("k"))
+    dealt = by_key(rows, label, "cell").where("mixed").withColumn("k", k)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    dealt = dealt.select(F.xxhash64("cell", F.least(own, "other"), F.greatest(own, "other")).alias("cell"), "tid", "part", own.alias("side"))
+    return dealt.join(texts.select("tid", "n", "bits"), "tid").select("cell", "tid", "n", "bits", "part", "side")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id of every row of docs (doc_id, text)."""
     tune(spark)
-    table = stored(prefixes(docs, spark.sparkContext.broadcast(frequent(docs, words)), words, similarity), "prefixes")
+    table = stored(nodes(docs, spark.sparkContext.broadcast(frequent(docs, words)), words, similarity), "shingles")
     rows = table.count()
-    texts = stored(narrow(table.groupBy("tid").agg(F.min("doc_id").alias("least")), rows), "texts")
-    met = stored(meetings(table, similarity), "meetings")
+    texts = table.groupBy("tid").agg(F.min("doc_id").alias("least"), F.count("*").alias("count"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("bits").alias("bits"))
+    texts = stored(narrow(texts, rows), "texts")
+    some = texts.where("n > 0").select("tid", "n", "bits")
 
     def similar(pairs: DataFrame) -> DataFrame:
         edges = stored(narrow(pairs), "candidates")
+        if edges.isEmpty():
+            return edges
         sets = shingle_sets(docs, edges.select(F.col("a").alias("tid")).unionByName(edges.select(F.col("b").alias("tid"))), words)
-        return stored(narrow(verified(edges, stored(sets, "shingles"), similarity)), "similar")
+        return stored(narrow(verified(edges, stored(sets, "sets"), similarity)), "similar")
 
+    heads = stored(texts.where("n > 0").groupBy("fp").agg(F.min("tid").alias("head"), F.count("*").alias("count")), "heads")
+    same = by_key(texts.where("n > 0").select("tid", "fp"), heads, "fp").where("tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b"))
+    head = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    near = links(heads.select("fp")).join(head("a"), "a").join(head("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    edges = similar(alike(near.unionByName(same), some, similarity))
+    root = stored(components(edges, nodes=rows), "parts")
+
+    met = stored(meetings(table, similarity), "meetings")
     crowds = met.where("cell is not null").select("cell", F.col("a").alias("tid"))
-    bitmaps = stored(narrow(table.where("n > 0").select("tid", "n", "bits").dropDuplicates(["tid"])), "bitmaps")
-    crowds = stored(crowds.join(bitmaps, "tid"), "crowds")
-    few = alike(met.where("cell is null").select("a", "b").distinct(), bitmaps, similarity)
-    edges = similar(few.unionByName(crowd_pairs(crowds.withColumn("part", F.col("tid")), similarity, True)).distinct())
-    root = components(edges, nodes=rows)
-    if crowds.limit(1).count():
-        parts = root.select(F.col("node").alias("tid"), F.col("root").alias("part"))
-        apart = crowds.join(parts, "tid", "left").withColumn("part", F.coalesce("part", "tid"))
-        more = similar(crowd_pairs(apart, similarity, False))
-        if more.limit(1).count():
-            root = components(edges.unionByName(more), nodes=rows)
-    linked = texts.join(root.withColumnRenamed("node", "tid"), "tid")
+    crowds = stored(crowds.unionByName(table.select(F.explode("common").alias("cell"), "tid")).distinct(), "crowds")
+    few = alike(met.where("cell is null").select("a", "b").distinct(), some, similarity)
+    for spanning in (True, False):
+        more = crowd_pairs(open_cells(crowds, some, root), similarity, spanning)
+        more = similar((few.unionByName(more) if spanning else more).distinct())
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            root = stored(components(edges, nodes=rows), "parts")
+    linked = texts.select("tid", "least").join(root.withColumnRenamed("node", "tid"), "tid")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("tid", "component_id")
-    label = texts.join(named, "tid", "left").select("tid", F.coalesce("component_id", "least").alias("component_id"))
-    return table.select("doc_id", "tid").join(label, "tid").select("doc_id", "component_id")
+    label = texts.select("tid", "least", "count").join(named, "tid", "left").select("tid", "count", F.coalesce("component_id", "least").alias("component_id"))
+    return by_key(table.select("doc_id", "tid"), label, "tid").select("doc_id", "component_id")

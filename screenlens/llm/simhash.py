@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, ranges, stored, tidy, tune
+from .common import by_key, narrow, ranges, stored, tidy, tune
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Hashes whose bits are counted at once.
@@ -46,9 +46,9 @@ def shingle_hashes(text: str | None, width: int = SHINGLE) -> list[int]:
     return out
 
 
-def fingerprints(texts: list[str | None], width: int = SHINGLE) -> np.ndarray:
-    """Signed 64-bit fingerprints."""
-    ones, n, part, owner = np.zeros((len(texts), 64), dtype=np.int64), np.zeros(len(texts), dtype=np.int64), [], []
+def fold(hashes: list[np.ndarray]) -> np.ndarray:
+    """Signed 64-bit fingerprints of lists of shingle hashes."""
+    ones, n, part, owner = np.zeros((len(hashes), 64), dtype=np.int64), np.array([len(h) for h in hashes], dtype=np.int64), [], []
     size = 0
 
     def count():
@@ -59,9 +59,7 @@ def fingerprints(texts: list[str | None], width: int = SHINGLE) -> np.ndarray:
             ones[i] += bits[at : at + len(p)].sum(0, dtype=np.int32)
             at += len(p)
 
-    for i, t in enumerate(texts):
-        h = np.array(shingle_hashes(t, width), dtype="<u8")
-        n[i] = len(h)
+    for i, h in enumerate(hashes):
         for k in range(0, len(h), STEP):
             part.append(h[k : k + STEP])
             owner.append(i)
@@ -74,6 +72,11 @@ def fingerprints(texts: list[str | None], width: int = SHINGLE) -> np.ndarray:
     return np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view("<i8").reshape(-1)
 
 
+def fingerprints(texts: list[str | None], width: int = SHINGLE) -> np.ndarray:
+    """Signed 64-bit fingerprints."""
+    return np.concatenate([np.zeros(0, np.int64), *(fold([np.array(shingle_hashes(t, width), dtype="<u8") for t in texts[k : k + 64]]) for k in range(0, len(texts), 64))])
+
+
 def fingerprint_table(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row of docs (doc_id, text)."""
 
@@ -243,12 +246,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = SHINGLE,
     """doc_id, fp, component_id of every row of docs (doc_id, text)."""
     tune(spark)
     table = stored(fingerprint_table(docs, width), "fingerprints")
-    fps = stored(narrow(table.groupBy("fp").agg(F.min("doc_id").alias("least")), table.count()), "distinct")
+    fps = stored(narrow(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("count")), table.count()), "distinct")
     root = components(links(fps.select("fp"), radius), nodes=fps.count())
     linked = fps.join(root.withColumnRenamed("node", "fp"), "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    label = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return table.join(label, "fp").select("doc_id", "fp", "component_id")
+    label = fps.join(named, "fp", "left").select("fp", "count", F.coalesce("component_id", "least").alias("component_id"))
+    return by_key(table, label, "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 import random
 
-import numpy as np
-
 from screenlens.llm import neardup
+from screenlens.llm.simhash import fingerprints
 
 
 def sets(text, n=5):
@@ -76,27 +75,6 @@ def test_large_needed_set(spark, monkeypatch):
     assert all(want[r.doc_id] == want[r.component_id] for r in neardup.near_duplicates(spark, df).collect())
 
 
-def test_links(spark):
-    """All pairs within six bits are joined, in small shards and in large ones."""
-    rng = random.Random(5)
-    values = {rng.getrandbits(64) for _ in range(40)}
-    while len(values) < 700:
-        v = rng.choice(sorted(values))
-        values.add(v ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(1, 8))}))
-    v = np.array(sorted(values), dtype=np.uint64)
-    df = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")
-    place = {int(x): k for k, x in enumerate(v.view(np.int64))}
-    f = neardup.Forest(len(v))
-    for r in neardup.links(df, len(v)).collect():
-        i, j = place[r.a], place[r.b]
-        assert int(v[i] ^ v[j]).bit_count() <= 9
-        list(f.add(np.array([i]), np.array([j]), np.array([0])))
-    for i in range(len(v)):
-        for j in np.flatnonzero(np.bitwise_count(v[:i] ^ v[i]) <= 6).tolist():
-            assert f.root(i) == f.root(j)
-    assert [neardup.scheme(n) for n in (10, 4_000_000, 10**9)] == [(8, 2), (8, 2), (10, 4)]
-
-
 def found(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     return {r.doc_id: r.component_id for r in neardup.near_duplicates(spark, df).collect()}
@@ -154,7 +132,6 @@ def test_same_at_every_size(spark, monkeypatch):
         base = prose(rng, words, n)
         texts += [" ".join(base), " ".join(base[: n - n * 17 // 100])]
     want = brute(list(enumerate(texts)))
-    monkeypatch.setattr(neardup, "scheme", lambda n: neardup.SCHEMES[-1])  # as for the largest inputs
     for few, texts_of_class in ((8, 512), (2, 512), (3, 20)):
         monkeypatch.setattr(neardup, "FEW", few, raising=False)
         monkeypatch.setattr(neardup, "CLASS", texts_of_class, raising=False)
@@ -169,7 +146,7 @@ def test_one_phrase_repeated(spark):
     for _ in range(20):
         own = prose(rng, words, 90)
         texts += [" ".join(own + ["la"] * 150), " ".join(own[:-5] + ["la"] * 150)]
-    assert len({int(x) for x in neardup.fingerprints(texts, neardup.SKETCH)}) == 1
+    assert len({int(x) for x in fingerprints(texts, neardup.WORDS)}) == 1
     want = brute(list(enumerate(texts)))
     assert sum(want[d] != d for d in want) == 20
     assert found(spark, texts) == want
