@@ -68,17 +68,17 @@ def known_small(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
 SHARE = 2048
 
 
-def by_key(rows: DataFrame, label: DataFrame, key: str, count: str = "count") -> DataFrame:
+def by_key(rows: DataFrame, label: DataFrame, *key: str, count: str = "count") -> DataFrame:
     """rows joined with label (key, count: rows that have it, ...), whose every key is once in it.
 
     Hot keys are fewer than SHARE, whatever the size: their labels are broadcast, so that their rows stay
     where they are. The others meet by shuffle, and none has more than one in SHARE rows.
     """
-    label = stored(label, "label")
+    label, on = stored(label, "label"), list(key)
     total = label.agg(F.sum(count)).first()[0] or 0
     hot = label.where(F.col(count) * SHARE > total)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(label.where(F.col(count) * SHARE <= total), key)
-    return rows.join(F.broadcast(hot), key).unionByName(rest)
+    rest = rows.join(F.broadcast(hot.select(*key)), on, "left_anti").join(label.where(F.col(count) * SHARE <= total), on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
 
 
 def release() -> None:

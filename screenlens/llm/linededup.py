@@ -1,32 +1,39 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-`LineRuns` is a log-structured store in the shared folder. A batch of documents adds one sorted
-run (k1, k2, n, doc): the 128-bit hash of a line key, the number of rows that hold it and the largest
-doc_id that does. When a level has `fanout` runs, they are merged into one sorted run of the next
-level. A later batch is checked against the runs by merge anti-join (`novel`).
-
-`dedup` adds all documents batch by batch, then merges the runs on reading. Lines whose key is in
-at least `min_docs` rows go, except in the largest doc_id holding it. The keys concerned are
-broadcast only if there are at most `broadcast_keys` (about 150 bytes each in a worker); else documents
+`LineRuns` is a log-structured store in the shared folder. A run is a table of (k1, k2, n, doc): the 128-bit
+hash of a line key, the number of rows that hold it and the largest doc_id that does. All runs are dealt into the same
+buckets by key and sorted in them, one file a bucket, so that runs are merged, and batches compared with them, without any
+exchange or sort of a run. A new batch is merge-anti-joined with the runs, which takes away what changes nothing there, and
+adds the rest as its own run. When a level has `fanout` runs, they are merged into one run of the next level.
+
+`dedup` reads the texts twice: once for the keys, which a task sums before they are shuffled, so that a very common line
+is a few rows a task; and once to drop lines. The keys are added batch by batch (four at least, and one for each
+BATCH of them). Lines whose key is in at least `min_docs` rows go, except in the largest doc_id holding it. The keys
+concerned are broadcast only if there are at most `broadcast_keys` (about 150 bytes each in a worker); else documents
 meet them by join.
 
-Defined results: a null text is one empty line; a null doc_id sorts below all others; each row
-counts as a document of its own, and rows that repeat a doc_id keep or lose a line together; other
-columns are ignored.
+Defined results: a null or empty text is one empty line; a null doc_id sorts below all others; each row
+counts as a document of its own, and rows that repeat a doc_id keep or lose a line together; texts are read whole, whatever
+their length or number of lines; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, remove, scratch, tidy, tune
+from .common import by_key, remove, scratch, stored, tidy, tune
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 NO_ID = -(1 << 63)
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+#: Keys that a task sums at once; keys of a batch and of a bucket; parts that the keys are written in, and so the most batches.
+HELD, BATCH, BUCKET, PARTS = 1_000_000, 1 << 31, 2_000_000, 64
 
 
 def key_of(line: str, min_chars: int) -> bytes | None:
@@ -39,11 +46,28 @@ def key_of(line: str, min_chars: int) -> bytes | None:
     return xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass").lower())
 
 
-def keys(docs: DataFrame, min_chars: int = 20) -> DataFrame:
-    """(k1, k2, doc): the distinct long line keys of each row."""
+def summed(k: np.ndarray, n: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (rows of two integers) sorted and each once, with their numbers added up and the largest doc."""
+    o = np.lexsort((k[:, 1], k[:, 0]))
+    k, n, doc = k[o], n[o], doc[o]
+    first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]).any(1)))
+    return k[first], np.add.reduceat(n, first), np.maximum.reduceat(doc, first)
 
-    def emit(batches):
-        for b in batches:
+
+def keys(docs: DataFrame, min_chars: int = 20, batches: int = 1, whole: bool = True) -> DataFrame:
+    """(batch, k1, k2, n, doc): the distinct long line keys of each row; whole=False: summed over the rows of a task."""
+
+    def emit(batches_of):
+        from pyspark import TaskContext
+
+        batch = TaskContext.get().partitionId() % batches
+        held: list[tuple] = []
+        size = 0
+
+        def out(k, n, doc):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), batch, np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in (k[:, 0], k[:, 1], n, doc))], names=["batch", "k1", "k2", "n", "doc"])
+
+        for b in batches_of:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             found, owner = [], []
             for i, t in zip(ids, texts, strict=True):
@@ -52,60 +76,119 @@ def keys(docs: DataFrame, min_chars: int = 20) -> DataFrame:
                 found += mine
                 owner += [NO_ID if i is None else i] * len(mine)
             k = np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(owner, pa.int64())], names=["k1", "k2", "doc"])
-
-    return docs.select("doc_id", "text").mapInArrow(tidy(emit), "k1 long, k2 long, doc long")
+            row = k, np.ones(len(k), np.int64), np.array(owner, dtype=np.int64)
+            if whole:
+                yield out(*row)
+                continue
+            if len(k):
+                held.append(row)
+                size += len(k)
+            if size >= HELD:
+                held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if 2 * size >= HELD:
+                    yield out(*held[0])
+                    held, size = [], 0
+        if held:
+            yield out(*summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    return docs.select("doc_id", "text").mapInArrow(tidy(emit), "batch int, k1 long, k2 long, n long, doc long")
 
 
 class LineRuns:
-    """Levels of sorted runs; `levels[i]` lists the paths of level i.
+    """Levels of sorted runs; `levels[i]` lists the tables of level i.
 
-    enough: the count from which on a key's number no longer matters (None: all are exact). rows: what
-    a run has, about.
+    enough: the count from which on a key's number no longer matters (None: all are exact). buckets: of every run.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4, enough: int | None = None, rows: int | None = None):
-        self.spark, self.fanout, self.enough, self.rows, self.levels = spark, fanout, enough, rows, [[]]
+    def __init__(self, spark: SparkSession, fanout: int = 4, enough: int | None = None, buckets: int = 8):
+        self.spark, self.fanout, self.enough, self.buckets, self.levels = spark, fanout, enough, buckets, [[]]
+        self.paths: dict[str, str] = {}
+        # One file a bucket: its order is the table's.
+        spark.conf.set(ORDERED, "true")
+
+    def _read(self, names: list[str]) -> DataFrame:
+        """All keys of some runs with their counts, each once: a full outer merge join of sorted runs."""
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("k1 long, k2 long, n long, doc long").parquet(*paths)
+        def both(a: DataFrame, b: DataFrame) -> DataFrame:
+            a, b = a.alias("a").hint("merge"), b.alias("b")
+            key = (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2"))
+            n = F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))
+            return a.join(b, key, "full_outer").select(F.coalesce("a.k1", "b.k1").alias("k1"), F.coalesce("a.k2", "b.k2").alias("k2"), n.alias("n"), F.greatest("a.doc", "b.doc").alias("doc"))
+
+        return functools.reduce(both, (self.spark.table(n) for n in names))
 
     def _write(self, run: DataFrame) -> str:
         path = scratch(self.spark, "run")
-        narrow(run, self.rows).sortWithinPartitions("k1", "k2").write.parquet(path)
-        return path
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        run.write.format("parquet").bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", path).saveAsTable(name)
+        self.paths[name] = path
+        return name
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"drop table if exists {name}")
+            remove(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        """Remove all runs and the settings made for them."""
+        self._drop(list(self.paths))
+        self.spark.conf.unset(ORDERED)
 
     def add(self, batch: DataFrame) -> None:
-        """Add the rows (k1, k2, doc) of a batch as a run, then compact full levels."""
-        run = batch.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc").alias("doc"))
-        if self.enough is not None and any(self.levels):
-            known = self.view().where(F.col("n") >= self.enough).select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("doc").alias("holder"))
-            run = run.hint("merge").join(known, (run["k1"] == known["a1"]) & (run["k2"] == known["a2"]) & (run["doc"] <= known["holder"]), "left_anti")
+        """Add the rows (k1, k2, doc, and n if they are summed) of a batch as a run, then compact full levels."""
+        n = F.col("n") if "n" in batch.columns else F.lit(1).cast("long")
+        run = batch.select("k1", "k2", n.alias("n"), "doc").repartition(self.buckets, "k1", "k2").groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.max("doc").alias("doc"))
+        if self.enough is not None:
+            run = self._unsettled(run)
         self.levels[0].append(self._write(run))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             if level + 1 == len(self.levels):
                 self.levels.append([])
             old = self.levels[level]
-            self.levels[level + 1].append(self._write(self._merged(old)))
+            self.levels[level + 1].append(self._merge(old))
             self.levels[level] = []
-            for path in old:
-                remove(self.spark, path)
             level += 1
 
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self._read(paths).groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.max("doc").alias("doc"))
+    def _meet(self, batch: DataFrame, found) -> DataFrame:
+        """The rows of a batch for which found(count, largest doc in the runs) does not hold: a merge join with each run in turn."""
+        n, holder = F.lit(0).cast("long"), F.lit(None).cast("long")
+        for k, name in enumerate(p for level in self.levels for p in level):
+            batch = batch.hint("merge").join(self.spark.table(name).select("k1", "k2", F.col("n").alias(f"n{k}"), F.col("doc").alias(f"doc{k}")), ["k1", "k2"], "left")
+            n = n + F.coalesce(f"n{k}", F.lit(0))
+            holder = F.greatest(holder, F.col(f"doc{k}"))
+        return batch.where(~found(n, F.coalesce(holder, F.lit(NO_ID))))
+
+    def _unsettled(self, run: DataFrame) -> DataFrame:
+        """Merge anti-join: the rows of a batch but those whose key is held often enough already, and by a later document."""
+        return self._meet(run, lambda n, holder: (n >= self.enough) & (F.col("doc") <= holder)).select("k1", "k2", "n", "doc")
+
+    def _merge(self, names: list[str]) -> str:
+        """One run of some, two at a time: each merge reads its runs bucket by bucket in order."""
+        names = list(names)
+        while len(names) > 1:
+            a, b = names[:2]
+            names = [*names[2:], self._write(self._read([a, b]))]
+            self._drop([a, b])
+        return names[0]
+
+    def compact(self) -> None:
+        """Merge all runs into one, the lower levels first."""
+        names = [p for level in self.levels for p in level]
+        if names:
+            self.levels = [[] for _ in self.levels[1:]] + [[self._merge(names)]]
 
     def view(self) -> DataFrame:
         """All keys with their counts, each once."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
+        names = [p for level in self.levels for p in level]
+        if not names:
             return self.spark.createDataFrame([], "k1 long, k2 long, n long, doc long")
-        return self._read(paths) if len(paths) == 1 else self._merged(paths)
+        return self._read(names)
 
     def novel(self, batch: DataFrame) -> DataFrame:
-        """The rows of a batch whose key no run has yet (merge anti-join)."""
-        return batch.hint("merge").join(self.view().select("k1", "k2"), ["k1", "k2"], "left_anti")
+        """The rows of a batch whose key no run has yet."""
+        return self._meet(batch, lambda n, _: n > 0).select(*batch.columns)
 
 
 def drop_lines(text: str | None, min_chars: int, doomed) -> tuple[int, list[str]]:
@@ -133,17 +216,22 @@ def _apply(docs: DataFrame, min_chars: int, doomed_of) -> DataFrame:
     return docs.mapInArrow(tidy(apply), f"row {docs.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept string")
 
 
-def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4, broadcast_keys: int = 200_000) -> DataFrame:
-    """row (struct of all columns but text), n_lines, n_dropped, kept (the remaining text) of every row."""
+def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, fanout: int = 4, broadcast_keys: int = 200_000) -> DataFrame:
+    """row (struct of all columns but text), n_lines, n_dropped, kept (the remaining text) of every row. batches: how many (None: by the number of keys)."""
     tune(spark)
     docs = docs.select(F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"), "doc_id", "text")
-    lines = 10 * docs.count()  # about; it decides the number of files
-    runs = LineRuns(spark, fanout, min_docs, lines)
-    for k in range(batches):
-        runs.add(keys(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), min_chars))
-    path = scratch(spark, "doomed")
-    narrow(runs.view().where(F.col("n") >= min_docs).select("k1", "k2", "doc"), lines).write.parquet(path)
-    doomed = spark.read.schema("k1 long, k2 long, doc long").parquet(path)
+    path = scratch(spark, "keys")
+    keys(docs, min_chars, PARTS, False).write.partitionBy("batch").parquet(path)
+    found = spark.read.schema("k1 long, k2 long, n long, doc long, batch int").parquet(path)
+    size = found.count()
+    batches = batches or max(4, -(-size // BATCH))
+    runs = LineRuns(spark, fanout, min_docs, max(8, -(-size // BUCKET)))
+    for k in range(min(batches, PARTS)):
+        runs.add(found.where(F.col("batch") % min(batches, PARTS) == k))
+    runs.compact()
+    doomed = stored(runs.view().where(F.col("n") >= min_docs), "doomed")
+    runs.close()
+    remove(spark, path)
     if doomed.count() <= broadcast_keys:
         rows = doomed.collect()
         table = spark.sparkContext.broadcast({np.array([r.k1, r.k2]).tobytes(): r.doc for r in rows})
@@ -156,7 +244,7 @@ def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: i
 
         return _apply(docs.select("row", "text"), min_chars, tests)
     own = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    hit = keys(docs, min_chars).join(doomed.withColumnRenamed("doc", "holder"), ["k1", "k2"]).where("doc <> holder")
+    hit = by_key(keys(docs, min_chars).select("k1", "k2", "doc"), doomed.withColumnRenamed("doc", "holder"), "k1", "k2", count="n").where("doc <> holder")
     lists = hit.groupBy("doc").agg(F.collect_set(F.struct("k1", "k2")).alias("ks"))
     joined = docs.withColumn("own", own).join(lists.withColumnRenamed("doc", "own"), "own", "left").select("row", "text", F.col("ks.k1").alias("k1s"), F.col("ks.k2").alias("k2s"))
 
