@@ -8,8 +8,13 @@ those of type S. A suffix's common prefix with the one induced before it is one
 value scanned since then.
 
 The first two passes sort the substrings between leftmost-S positions. Their names form the reduced
-string, which recursion sorts by doubling over names that still tie; the last two passes induce
-all suffixes from it. Sorting goes as deep as `cap` bytes, all that the caller asks about.
+string. Its alphabet is as large as the string, where queues by byte do not apply, so it is not induced in turn but
+sorted by doubling over groups of names that still tie; the last two passes induce all suffixes from it. Sorting goes as
+deep as `cap` bytes, all that the caller asks about.
+
+All arrays of the shard's length (positions, order, ranks, common prefixes) are files mapped into memory once they
+exceed `limit` bytes, and are worked on in blocks; memory is needed for some blocks, the queues' limit, and
+the largest group of names that tie.
 """
 
 from __future__ import annotations
@@ -24,6 +29,38 @@ HELD = 64 << 20
 FAR = 255
 
 
+def array(n: int, kind, limit: int) -> np.ndarray:
+    """Room for n values: in memory up to the limit, else in an unlinked file."""
+    if n * np.dtype(kind).itemsize <= limit:
+        return np.empty(n, dtype=kind)
+    return np.memmap(tempfile.TemporaryFile(), dtype=kind, mode="w+", shape=(n,))
+
+
+def spans(n: int, size: int):
+    """(start, end) of blocks."""
+    for k in range(0, n, size):
+        yield k, min(k + size, n)
+
+
+class Positions:
+    """Positions that are appended in descending order, and read in ascending order."""
+
+    def __init__(self, limit: int):
+        self.limit, self.n, self.file = limit, 0, tempfile.SpooledTemporaryFile(max_size=limit)
+
+    def append(self, pos: np.ndarray) -> None:
+        self.file.write(np.ascontiguousarray(pos, dtype=np.int64).tobytes())
+        self.n += len(pos)
+
+    def ascending(self) -> np.ndarray:
+        out = array(self.n, np.int64, self.limit)
+        for s, e in spans(self.n, BLOCK):
+            self.file.seek(8 * (self.n - e))
+            out[s:e] = np.frombuffer(self.file.read(8 * (e - s)), dtype=np.int64)[::-1]
+        self.file.close()
+        return out
+
+
 class SuffixQueue:
     """Tuples by first byte, in order of arrival; pieces beyond the limit are on disk."""
 
@@ -129,7 +166,7 @@ class Inducer:
         queue, kept = SuffixQueue(self.limit), SuffixQueue(self.limit)
         state = np.full(256, FAR, dtype=np.uint8), np.zeros(256, dtype=bool)
         self._scan(queue, state, np.array([self.n]), np.zeros(1, np.uint8), lambda b: b >= 0)
-        cut = np.searchsorted(t[seeds], np.arange(257))
+        cut = np.append(0, np.cumsum(sum((np.bincount(t[seeds[s:e]], minlength=256) for s, e in spans(len(seeds), BLOCK)), np.zeros(256, np.int64))))
         last_l = np.full(256, -1, dtype=np.int64)
         for c in range(256):
             while (block := queue.take(c)) is not None:
@@ -138,10 +175,10 @@ class Inducer:
                 self._scan(queue, state, *block, lambda b, c=c: b >= c)
             for k in range(cut[c], cut[c + 1], BLOCK):
                 e = min(k + BLOCK, cut[c + 1])
-                lcp = seed_lcp[k:e].copy()
+                lcp = np.array(seed_lcp[k:e])
                 if k == cut[c]:
                     lcp[0] = self.common(last_l[c : c + 1], seeds[k : k + 1])[0] if last_l[c] >= 0 and not blank else 0
-                self._scan(queue, state, seeds[k:e], lcp, lambda b, c=c: b > c)
+                self._scan(queue, state, np.asarray(seeds[k:e]), lcp, lambda b, c=c: b > c)
         queue = SuffixQueue(self.limit)
         state = np.full(256, FAR, dtype=np.uint8), np.zeros(256, dtype=bool)
         for c in range(255, -1, -1):
@@ -164,7 +201,7 @@ class Inducer:
 
     def leftmost(self) -> np.ndarray:
         """Positions of type S whose predecessor is of type L, ascending; read in blocks from the end."""
-        found, right, is_s = [], None, False
+        found, right, is_s = Positions(self.limit), None, False
         for e in range(self.n, 0, -BLOCK):
             s = max(0, e - BLOCK)
             part = np.asarray(self.t[s:e]).astype(np.int16)
@@ -179,72 +216,117 @@ class Inducer:
             before = int(self.t[s - 1]) if s else -1
             prior = np.append(before, part[:-1])
             # A predecessor is of type L if its byte is greater, or equal with this one of type L.
-            found.append(np.flatnonzero(kind & (prior > part)) + s)
+            found.append((np.flatnonzero(kind & (prior > part)) + s)[::-1])
             right, is_s = int(part[0]), bool(kind[0])
-        return np.concatenate(found[::-1]) if found else np.zeros(0, np.int64)
+        return found.ascending()
+
+    def by_byte(self, seeds: np.ndarray) -> np.ndarray:
+        """Positions in order of their bytes, and for one byte as they come."""
+        at = np.zeros(256, np.int64)
+        for s, e in spans(len(seeds), BLOCK):
+            at += np.bincount(self.t[seeds[s:e]], minlength=256)
+        at = np.cumsum(at) - at
+        out = array(len(seeds), np.int64, self.limit)
+        for s, e in spans(len(seeds), BLOCK):
+            part = np.asarray(seeds[s:e])
+            byte = self.t[part]
+            o = np.argsort(byte, kind="stable")
+            n = np.bincount(byte, minlength=256)
+            out[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(len(part))] = part[o]
+            at += n
+        return out
 
     def names(self, order: np.ndarray, all_seeds: np.ndarray) -> np.ndarray:
         """Whether each leftmost-S substring, in sorted order, differs from the one before."""
         m = len(order)
-        end = np.append(all_seeds[1:], self.n)[np.searchsorted(all_seeds, order)] - order + 1
-        new = np.ones(m, dtype=bool)
-        limit = np.minimum(end, self.cap)
-        for k in range(0, m - 1, BLOCK):
-            a, b = order[k : min(k + BLOCK, m - 1)], order[k + 1 : min(k + BLOCK, m - 1) + 1]
-            x, y = limit[k : k + len(a)], limit[k + 1 : k + 1 + len(a)]
-            new[k + 1 : k + 1 + len(a)] = (x != y) | (self.common(a, b) < x)
+        new = array(m, bool, self.limit)
+        new[:1] = True
+
+        def limit(pos):
+            k = np.searchsorted(all_seeds, pos) + 1
+            end = np.where(k < m, all_seeds[np.minimum(k, m - 1)], self.n)
+            return np.minimum(end - pos + 1, self.cap)
+
+        for s, e in spans(m - 1, BLOCK):
+            a, b = np.asarray(order[s:e]), np.asarray(order[s + 1 : e + 1])
+            x, y = limit(a), limit(b)
+            new[s + 1 : e + 1] = (x != y) | (self.common(a, b) < x)
         return new
 
     def reduced(self, order: np.ndarray, new: np.ndarray, all_seeds: np.ndarray) -> np.ndarray:
-        """Sort the suffixes of the reduced string: pairs of names, then of pairs, for those that tie."""
+        """Sort the suffixes of the reduced string: pairs of names, then of pairs, for groups that tie."""
         m = len(order)
-        sa = np.searchsorted(all_seeds, order)
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, m))
-        rank = np.empty(m, dtype=np.int64)
-        rank[sa] = np.repeat(first, size)
-        tied = np.flatnonzero(np.repeat(size > 1, size))
+        sa, rank = array(m, np.int64, self.limit), array(m, np.int64, self.limit)
+        first = 0
+        for s, e in spans(m, BLOCK):
+            sa[s:e] = np.searchsorted(all_seeds, order[s:e])
+            begins = np.where(new[s:e], np.arange(s, e), 0)
+            begins[0] = max(int(begins[0]), first)
+            begins = np.maximum.accumulate(begins)
+            rank[sa[s:e]] = begins
+            first = int(begins[-1])
         h = 1
-        # Each name stands for two bytes or more.
-        while len(tied) and 2 * h < self.cap + 2:
-            e = sa[tied]
-            one = rank[e]
-            two = np.where(e + h < m, rank[np.minimum(e + h, m - 1)], -1)
-            o = np.lexsort((two, one))
-            e, one, two = e[o], one[o], two[o]
-            sa[tied] = e
-            new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, len(e)))
-            rank[e] = np.repeat(tied[first], size)
-            tied = tied[np.repeat(size > 1, size)]
+        # Each name stands for two bytes or more. A group's finer ranks may be seen by later groups: they order the same.
+        while 2 * h < self.cap + 2:
+            some = False
+            for s, e in self.groups(new):
+                lead = np.maximum.accumulate(np.where(new[s:e], np.arange(s, e), 0))
+                size = np.bincount(lead - s, minlength=e - s)
+                at = np.flatnonzero(size[lead - s] > 1)
+                if not len(at):
+                    continue
+                some = True
+                one, x = lead[at], np.asarray(sa[s:e])[at]
+                two = np.where(x + h < m, rank[np.minimum(x + h, m - 1)], -1)
+                o = np.lexsort((two, one))
+                x, one, two = x[o], one[o], two[o]
+                begin = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
+                sa[s + at], new[s + at] = x, begin
+                rank[x] = s + at[np.flatnonzero(begin)[np.cumsum(begin) - 1]]
+            if not some:
+                break
             h *= 2
-        return all_seeds[sa]
+        for s, e in spans(m, BLOCK):
+            sa[s:e] = all_seeds[sa[s:e]]
+        return sa
+
+    def groups(self, new: np.ndarray):
+        """(start, end) of blocks that end where a group ends."""
+        s, m = 0, len(new)
+        while s < m:
+            e = min(s + BLOCK, m)
+            while e < m:
+                k = np.flatnonzero(new[e : e + BLOCK])
+                if len(k):
+                    e += int(k[0])
+                    break
+                e = min(e + BLOCK, m)
+            yield s, e
+            s = e
 
     def run(self, sink) -> None:
         """sink(positions, common prefix with the suffix given before) gets all suffixes from the last to the first."""
         if not self.n:
             return
         seeds = self.leftmost()
-        blank = np.zeros(len(seeds), dtype=np.uint8)
-        got: list[np.ndarray] = []
+        blank = np.broadcast_to(np.uint8(0), len(seeds))
+        got = Positions(self.limit)
 
         def collect(pos, _, of_s):
             if of_s and len(pos):
                 before = self.t[np.maximum(pos - 1, 0)]
                 got.append(pos[(before > self.t[pos]) & (pos > 0)])
 
-        by_byte = seeds[np.argsort(self.t[seeds], kind="stable")]
-        self.passes(by_byte, blank, collect, True)
-        order = np.concatenate(got)[::-1] if got else seeds[:0]
-        if len(order) != len(seeds):
+        self.passes(self.by_byte(seeds), blank, collect, True)
+        if got.n != len(seeds):
             raise AssertionError("induction lost suffixes")
+        order = got.ascending()
         if len(order) > 1:
             order = self.reduced(order, self.names(order, seeds), seeds)
-        lcp = np.zeros(len(order), dtype=np.uint8)
-        for k in range(0, len(order) - 1, BLOCK):
-            e = min(k + BLOCK, len(order) - 1)
-            lcp[k + 1 : e + 1] = self.common(order[k:e], order[k + 1 : e + 1])
+        lcp = array(len(order), np.uint8, self.limit)
+        lcp[:1] = 0
+        for s, e in spans(len(order) - 1, BLOCK):
+            lcp[s + 1 : e + 1] = self.common(np.asarray(order[s:e]), np.asarray(order[s + 1 : e + 1]))
         self.passes(order, lcp, lambda pos, v, _: sink(pos, v), False)
 
 

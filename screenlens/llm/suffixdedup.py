@@ -3,7 +3,9 @@
 All strings of the corpus that occur twice must meet in one shard. Each window of `length` bytes has
 one anchor: its leftmost least hashed gram of `GRAM` bytes. Equal windows have equal anchors, so
 shards are dealt by anchor and no repeat crosses them. Neighbouring windows with the same anchor form
-one context.
+one context. Anchors that a sample finds in very many different contexts (a phrase in every document, say) are hot: their
+windows become contexts of their own, whose anchor is a hash of the whole window, so that they are dealt over all
+tasks; equal ones still meet.
 
 1. A scan emits the contexts as (anchor, hash of the context's bytes, place), once for each task and
    equal context; what repeats within the task is a span already. That keeps hot lines small.
@@ -15,9 +17,9 @@ one context.
 4. Documents meet their spans and lose them.
 
 Order is (doc_id, position). Spans and contexts grow with the corpus and are only ever shuffled. The
-context's hash has 64 bits and must agree together with the 64-bit anchor.
+context's hash has 64 bits and must agree together with the 64-bit anchor; both are of texts of under 300 bytes.
 
-Defined results: a null text counts as empty; texts shorter than `length` bytes lose nothing; a
+Defined results: a null text counts as empty; texts shorter than `length` bytes lose nothing; very long texts are cut into overlapping pieces of CHUNK bytes, so that none is held twice, and nothing is lost; an empty table gives an empty one; a
 null doc_id sorts below all others; rows that repeat a doc_id are ordered by a hash of their texts,
 and if the texts are equal too, all copies lose the same; other columns are ignored.
 """
@@ -30,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import induced
-from .common import ranges, stored, tidy, tune
+from .common import SHARE, ranges, stored, tidy, tune
 
 LENGTH, GRAM = 100, 32
 #: Bytes handled at once; contexts that a task compares at once; bytes of a shard.
 CHUNK, ROWS, SHARD = 4_000_000, 1_000_000, 8_000_000
+#: Documents in which hot anchors are looked for, about.
+SAMPLE = 10_000
 NO_ID = -(1 << 63)
 ROW = "anchor long, ctx long, doc long, h long, start long, n long"
 FOUND = "kind byte, anchor long, doc long, h long, start long, n long"
@@ -71,7 +75,30 @@ def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(key[: len(key) - (width - n)], key[width - n :]) if width > n else key
 
 
-def contexts(b: np.ndarray, owner_end: np.ndarray, length: int):
+def prefix_hashes(values: np.ndarray, base: int):
+    """Function of starts and lengths: the hash of these values, the same wherever they stand."""
+    power = np.full(len(values) + 1, base, dtype=np.uint64)
+    back = np.full(len(values) + 1, pow(base, -1, 1 << 64), dtype=np.uint64)
+    power[0] = back[0] = 1
+    power, back = np.cumprod(power), np.cumprod(back)
+    total = np.append(np.uint64(0), np.cumsum(values * power[:-1]))
+    return lambda start, n: (total[start + n] - total[start]) * back[start]
+
+
+def split_hot(b: np.ndarray, found: tuple, of, hot: np.ndarray, length: int) -> tuple:
+    """The contexts found, those with hot anchors cut into single windows, each with its own anchor: two hashes of the whole window."""
+    anchor, ctx, first, n = found
+    at = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+    is_hot = hot[at] == anchor
+    if not is_hot.any():
+        return found
+    p = ranges(first[is_hot], n[is_hot])
+    other = prefix_hashes(BYTE_A[b], int(MULTIPLY[6]))
+    alone = mix(other(p, length)).view(np.int64), mix(of(p, length)).view(np.int64), p, np.ones(len(p), np.int64)
+    return tuple(np.concatenate([x[~is_hot], y]) for x, y in zip(found, alone, strict=True))
+
+
+def contexts(b: np.ndarray, owner_end: np.ndarray, length: int, hot: np.ndarray | None = None):
     """Of the joined documents b that end at owner_end: anchor, context hash, first window, number of windows."""
     x = grams(b)
     key = (x & ~LOW) | np.arange(len(x), dtype=np.uint64)
@@ -84,14 +111,11 @@ def contexts(b: np.ndarray, owner_end: np.ndarray, length: int):
     a = at[p]
     new = np.flatnonzero((np.diff(a) != 0) | (np.diff(p) != 1)) + 1
     first, last = p[np.append(0, new)], p[np.append(new - 1, len(p) - 1)]
-    power = np.full(len(b) + 1, BASE, dtype=np.uint64)
-    back = np.full(len(b) + 1, pow(BASE, -1, 1 << 64), dtype=np.uint64)
-    power[0] = back[0] = 1
-    power, back = np.cumprod(power), np.cumprod(back)
-    total = np.append(np.uint64(0), np.cumsum(BYTE_B[b] * power[:-1]))
+    of = prefix_hashes(BYTE_B[b], BASE)
     n = last - first + 1
-    ctx = mix((total[last + length] - total[first]) * back[first] + n.astype(np.uint64) * MULTIPLY[6] + (at[first] - first).astype(np.uint64) * MULTIPLY[4])
-    return x[at[first]].view(np.int64), ctx.view(np.int64), first, n
+    ctx = mix(of(first, n - 1 + length) + n.astype(np.uint64) * MULTIPLY[6] + (at[first] - first).astype(np.uint64) * MULTIPLY[4])
+    found = x[at[first]].view(np.int64), ctx.view(np.int64), first, n
+    return found if hot is None or not len(hot) else split_hot(b, found, of, hot, length)
 
 
 def pieces(batches, length: int):
@@ -125,8 +149,8 @@ def _rows(names, arrays, kind=None):
 NAMES = ["anchor", "ctx", "doc", "h", "start", "n"]
 
 
-def scan_contexts(docs: DataFrame, length: int) -> DataFrame:
-    """Step 1 over docs (doc, h, text). Spans have ctx 0 and n below zero."""
+def scan_contexts(docs: DataFrame, length: int, hot=None) -> DataFrame:
+    """Step 1 over docs (doc, h, text); hot: broadcast sorted anchors. Spans have ctx 0 and n below zero."""
 
     def run(batches):
         held: list[tuple] = []
@@ -136,7 +160,7 @@ def scan_contexts(docs: DataFrame, length: int) -> DataFrame:
         def hashed():
             b = np.frombuffer(b"".join(x[3] for x in part), dtype=np.uint8)
             ends = np.cumsum([len(x[3]) for x in part])
-            anchor, ctx, first, n = contexts(b, ends, length)
+            anchor, ctx, first, n = contexts(b, ends, length, hot.value if hot is not None else None)
             k = np.searchsorted(ends, first, side="right")
             doc, h, offset = (np.array([x[i] for x in part], dtype=np.int64) for i in range(3))
             return anchor, ctx, doc[k], h[k], first - np.append(0, ends[:-1])[k] + offset[k], n
@@ -171,6 +195,15 @@ def scan_contexts(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), ROW)
 
 
+def hot_anchors(docs: DataFrame, length: int) -> np.ndarray:
+    """Sorted anchors that more than one in SHARE of the different contexts of a sample has: fewer than SHARE. They only decide the dealing."""
+    most = max(1, docs.count() // SAMPLE)
+    seen = scan_contexts(docs.where(F.pmod(F.xxhash64("doc", "h", F.lit("sample")), F.lit(most)) == 0), length).where("n > 0").groupBy("anchor").agg(F.count_distinct("ctx").alias("n"))
+    seen = stored(seen.where("n > 2"), "anchors")
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    return np.sort(np.array([r.anchor for r in seen.where(F.col("n") * SHARE > max(total, SHARE)).toLocalIterator()], dtype=np.int64))
+
+
 def first_contexts(rows: DataFrame) -> DataFrame:
     """Step 2 over the rows of step 1, dealt by anchor and sorted: kind 1 spans, kind 2 contexts that must be compared."""
     names = ["kind", "anchor", "doc", "h", "start", "n"]
@@ -303,7 +336,8 @@ def dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFra
     repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     h = F.xxhash64("text") if repeated else F.lit(0).cast("long")
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), h.alias("h"), "text")
-    found = stored(first_contexts(scan_contexts(keyed.select("doc", "h", "text"), length)), "contexts")
+    hot = spark.sparkContext.broadcast(hot_anchors(keyed.select("doc", "h", "text"), length))
+    found = stored(first_contexts(scan_contexts(keyed.select("doc", "h", "text"), length, hot)), "contexts")
     todo = found.where("kind = 2").select("anchor", "doc", "h", "start", "n")
     size = todo.agg(F.sum(F.col("n") + length)).first()[0] or 0
     spans = found.where("kind = 1").select("doc", "h", "start", "n")

@@ -127,3 +127,57 @@ def test_induced_order(monkeypatch):
             x, y = raw[a : a + cap], raw[b : b + cap]
             n = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
             assert x >= y and v == n
+
+
+def test_hot_anchors(spark, monkeypatch):
+    """A phrase that stands in every document is split by what stands around it, and the result is the same."""
+    rng = random.Random(23)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+    own = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    phrase, passage = "a phrase that stands in each and every document here", own(40)
+    table = [(i, f"{own(30)} {phrase} {own(30)} {passage if i % 3 == 0 else phrase} {own(20)}") for i in range(120)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(suffixdedup, "SHARE", 64)
+    hot = suffixdedup.hot_anchors(df.selectExpr("doc_id as doc", "0L as h", "text"), 100)
+    assert 0 < len(hot) < 64
+    got = sorted(tuple(r) for r in suffixdedup.digest(suffixdedup.dedup(spark, df)).collect())
+    assert got == brute(table, 100)
+
+
+def test_shard_larger_than_memory(monkeypatch):
+    """A shard is sorted with memory for a fraction of its positions."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = [rng.integers(97, 123, rng.integers(2, 9), dtype=np.uint8).tobytes() for _ in range(3000)]
+    parts = [b" ".join(words[k] for k in rng.zipf(1.2, 60) % 3000) for _ in range(4000)]
+    parts += parts[:500]
+    text = induced.mapped(parts)
+    assert len(text) > 1_000_000
+    monkeypatch.setattr(induced, "BLOCK", 1 << 12)
+    seen = np.zeros(len(text), dtype=bool)
+    last = {}
+    bad = [0]
+
+    def sink(pos, lcp):
+        seen[pos] = True
+        # Sorted from the last to the first, up to the depth.
+        if "p" in last:
+            pos, lcp = np.append(last["p"], pos), np.append(last["l"], lcp)
+        a, b = pos[:-1], pos[1:]
+        common = sorter.common(a, b)
+        x, y = (np.where(p + common < len(text), text[np.minimum(p + common, len(text) - 1)].astype(int), -1) for p in (a, b))
+        bad[0] += int(((common < 100) & (x < y)).sum())
+        last["p"], last["l"] = pos[-1:], lcp[-1:]
+
+    peak = {}
+    for limit in (1 << 30, 1 << 17):
+        sorter = induced.Inducer(text, 100, limit=limit)
+        seen[:], bad[0] = False, 0
+        last.clear()
+        tracemalloc.start()
+        sorter.run(sink)
+        peak[limit] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert seen.all() and not bad[0]
+    assert peak[1 << 17] < peak[1 << 30] / 3, peak
