@@ -3,8 +3,8 @@
 Natural text needs few tokens for its characters; random strings need many. Every run of at least
 `MIN_RUN` characters of the base64/URL alphabet that is not yet inside a match of a known kind is
 encoded with a tiktoken vocabulary; with fewer than `MAX_RATIO` characters a token it is reported as
-kind `random`. Digests of standard length, UUIDs, version strings, and identifiers (words joined by
-`_`, `-`, `.` or case changes) are excluded first.
+kind `random`. Digests of standard length, UUIDs, account numbers whose check digits are right, dates and
+versions, and identifiers (words joined by `_`, `-`, `/` or case changes, with short numbers) are excluded first.
 
 Kinds in order: assign, access, hex, random. Spans are code points, end exclusive.
 
@@ -34,12 +34,17 @@ KINDS = (
 #: A text without any of these, in lower case, has no match of `assign`.
 CUES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-MIN_RUN, MAX_RATIO = 20, 2.4
+#: Random strings of 16 characters and more, in any of the usual alphabets, have 1.1 to 2.3 characters a token (hex and base 32 the most).
+MIN_RUN, MAX_RATIO = 16, 2.4
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9]+)=*")
-#: Parts of an identifier: a word, perhaps capitalised, all capitals, or a short number.
-PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]{1,4}|[A-Za-z](?![A-Za-z0-9])")
-JOIN = re.compile(r"[_/+=-]+")
+#: Account numbers with check digits; groups of digits and short words (dates, versions, part numbers).
+ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
+NUMBERS = re.compile(r"[A-Za-z]{0,4}[0-9]{0,8}[A-Za-z]?(?:[-_/+T=][A-Za-z]{0,4}[0-9]{0,8}[A-Za-z]?)+")
+#: Parts of an identifier: words by case, and numbers.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: Characters a token that words of identifiers have at least, each by itself in lower case.
+WORD_RATIO = 2.6
 TOKENS = "byte_bpe_50k.tiktoken"
 SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
@@ -59,12 +64,24 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(TOKENS)
 
 
-def identifier(run: str) -> bool:
-    """Whether a run is words and short numbers: most of its characters lie in parts of four letters or more."""
-    parts = [p for piece in JOIN.split(run) if piece for p in PART.findall(piece)]
-    if sum(map(len, parts)) < sum(len(p) for p in JOIN.split(run)):
-        return False
-    return sum(len(p) for p in parts if len(p) >= 4 and p.isalpha()) * 10 >= 7 * len(run)
+def identifier(run: str, path: str) -> bool:
+    """Whether a run is words and numbers.
+
+    Without digits its words, parted by case or signs, have four letters on average: random letters change case more often.
+    With digits, words of three letters or more make up half of it and are as cheap in tokens as words are.
+    """
+    parts = PART.findall(run)
+    words = [p for p in parts if p.isalpha()]
+    if len(words) == len(parts):
+        return sum(map(len, words)) >= 4 * len(words)
+    words = [w for w in words if len(w) >= 3]
+    chars = sum(map(len, words))
+    return 2 * chars >= sum(map(len, parts)) and chars >= WORD_RATIO * sum(len(encoder(path).encode_ordinary(" " + w.lower())) for w in words)
+
+
+def account(run: str) -> bool:
+    """Whether an account number's check digits (modulo 97) are right."""
+    return ACCOUNT.fullmatch(run) is not None and int("".join(str(int(c, 36)) for c in run[4:] + run[:4])) % 97 == 1
 
 
 def mixed(run: str) -> bool:
@@ -79,7 +96,7 @@ def random_runs(text: str, taken: list[tuple[int, int]], path: str) -> list[tupl
         if any(a < e and s < b for a, b in taken):
             continue
         run = m[0].strip("=-_/+")
-        if len(run) < MIN_RUN or not mixed(run) or DIGEST.fullmatch(run) or identifier(run):
+        if len(run) < MIN_RUN - 2 or not mixed(run) or DIGEST.fullmatch(run) or NUMBERS.fullmatch(run) or account(run) or identifier(run, path):
             continue
         if len(run) < MAX_RATIO * len(encoder(path).encode_ordinary(run)):
             out.append((s, e))

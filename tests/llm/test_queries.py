@@ -152,6 +152,37 @@ def test_secrets(spark, docs):
     assert secrets.scan(spark, docs.limit(0)).count() == 0
 
 
+def test_random_strings_are_found():
+    """Planted random strings of seven alphabets in prose: nine in ten of each kind and length, and nearly all together."""
+    import random
+    import string
+
+    rng, path = random.Random(2), secrets.vocabulary_path()
+    letters, digits = string.ascii_letters, string.digits
+    alphabets = {"base62": letters + digits, "base64": letters + digits + "+/", "url": letters + digits + "-_", "base32": string.ascii_uppercase + "234567", "lower": string.ascii_lowercase + digits, "hex": digits + "ABCDEF", "letters": letters}
+    caught = total = 0
+    for kind, alphabet in alphabets.items():
+        for n in (16, 20, 24, 31, 43):
+            hits = 0
+            for _ in range(100):
+                text = f"the value is {''.join(rng.choice(alphabet) for _ in range(n))} and that is it"
+                base = [x[:2] for x in secrets.base_spans(text)]
+                hits += any(a <= 20 and b >= n + 8 for a, b in base + secrets.random_runs(text, base, path))
+            assert hits >= 90, (kind, n, hits)
+            caught, total = caught + hits, total + 100
+    assert caught >= 0.98 * total
+
+
+def test_identifiers_are_left_alone():
+    names = """getUserAccountSettingsById get_user_account_settings_by_id internationalizationHelperFactory MAX_CONNECTION_TIMEOUT_MS AbstractSingletonProxyFactoryBean
+com/example/project/src/main/java/Application README-2024-01-15-final IMG_20240115_123456 2024-01-15T12-30-45Z v1-beta-2024-release kubernetes-dashboard-v2-7 node_modules/react-dom/cjs
+ISO-8859-1-encoding HTTP2ServerPushEnabled Donaudampfschifffahrtsgesellschaft DE89370400440532013000 GB82WEST12345698765432 x86_64-unknown-linux-gnu aarch64-apple-darwin20
+Windows-10-Pro-64bit-22H2 TensorFlowLite2Converter application/x-www-form-urlencoded en_US_POSIX_UTF8 AES256-SHA384-ECDHE SHA256withRSAEncryption base64EncodedString PROJ-12345-backend-fix
+Covid19VaccinationCentre Anticonstitutionnellement S3BucketLifecycleRule EC2InstanceMetadata 978-3-16-148410-0 +49-30-1234567890""".split()
+    for name in names:
+        assert not secrets.random_runs(f"use {name} here", [], secrets.vocabulary_path()), name
+
+
 # licences
 
 
@@ -163,6 +194,112 @@ def test_licenses(spark, docs):
     assert {r.kind for r in licenses.scan(docs).collect()} == {"none"} and licenses.scan(docs.limit(0)).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2021 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD3 = """Copyright (c) 2020, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the Some Body Institute of Something nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+ISC = """Copyright (c) 2019 Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE.
+"""
+APACHE = """Copyright 2022 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU {1}General Public License as published by
+the Free Software Foundation{2} either version {3} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+
+
+def test_published_licenses(spark):
+    """Whole published texts: as they are, with their lines joined, and in the comment marks of several languages."""
+    bsd2 = BSD3[: BSD3.index("3. Neither")] + BSD3[BSD3.index("THIS SOFTWARE") :]
+    published = {"MIT": MIT, "BSD-3-Clause": BSD3, "BSD-2-Clause": bsd2, "ISC": ISC, "Apache-2.0": APACHE, "GPL-3.0": GPL.format(":", "", ",", "3"), "GPL-2.0": GPL.format(";", "", ";", "2"), "LGPL-3.0": GPL.format(":", "Lesser ", ",", "3"), "AGPL-3.0": GPL.format(":", "Affero ", ",", "3")}
+    marked = lambda t, a, b="": "".join(f"{a}{x}{b}\n" for x in t.split("\n"))
+    forms = (lambda t: t, lambda t: " ".join(t.split()), lambda t: t.replace("\n", "\r\n"), lambda t: marked(t, "# ") + "import os\n", lambda t: "/*\n" + marked(t, " * ") + " */\nint main() {}", lambda t: marked(t, "// "), lambda t: marked(t, "dnl "), lambda t: marked(t, "REM "), lambda t: "<!--\n" + t + "-->", lambda t: f"Some prose before\n{t}\nand after " * 40)
+    texts = [(n, f(t)) for n, t in published.items() for f in forms]
+    got = licenses.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == [n for n, _ in texts]
+    plain = ["The museum was licensed to sell tea. The permission of the owner was asked.", "No warranty. This program is free of charge software.", "A mit b. apache 2 0", "You may copy the license plate at the garage"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string"))
+    assert {(r.licenses, r.kind) for r in got.collect()} == {("", "none")}
+
+
+def test_licenses_against_sql(spark):
+    """The scan equals its SQL on hard texts."""
+    import duckdb
+    import pyarrow as pa
+
+    line = "Licensed under the MIT license"
+    texts = [None, "", MIT, BSD3, APACHE, f"{line}\n{line}\n{line}. {line}", "# SPDX-License-Identifier: Apache-2.0\n# SPDX-License-Identifier: GPL-2.0-or-later", "licensed\u2028under the\x85MIT license", f"dnl {line}\nREM\t{line}", (line + "! words ") * 2000, "x" * 200_000 + " " + line, ISC.upper(), "Neither the name of nor the names of its contributors may be used"]
+    table = list(enumerate(texts))
+    got = licenses.scan(spark.createDataFrame(table, "doc_id long, text string").selectExpr("*", "1 as kind", "2 as r"))
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [i for i, _ in table], "text": pa.array([t for _, t in table], pa.string())}))
+    assert rows(got, *got.columns) == sorted(con.execute(licenses.oracle()).fetchall(), key=repr)
+
+
 # quality
 
 
