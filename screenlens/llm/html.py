@@ -6,11 +6,13 @@ and id words. Each paragraph then gives points to its ancestors: one, one for ea
 each hundred characters (three at most); the parent gets them whole, the grandparent half, and
 further ancestors a share that shrinks with the distance. Class words raise or lower a container's
 score, and a container's score is discounted by its link density. The best container is the main text, with
-those siblings whose own score or text is good enough. Its blocks are returned one a line.
+those siblings whose own score or text is good enough and the text blocks (short paragraphs, lists, tables) between
+or next to them. An article is taken whole, with all articles beside it in the same main part that are no teasers.
+Blocks are returned one a line.
 
 Defined results: a null or empty page, and one without text, gives an empty text; broken markup is
 parsed as far as it goes (an open element ends with its parent); pages are read whole, in one pass,
-with a stack instead of recursion; repeated rows are extracted alike; other columns are ignored.
+with a stack instead of recursion; of containers with equal scores the first one wins; an empty table gives an empty one; repeated rows are extracted alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,6 +49,9 @@ GOOD_WORDS = frozenset("article body content entry hentry main page post story t
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 KEEP_TAGS = frozenset("html body article main".split())
 SCORED = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
+#: Blocks of text that go with a container beside them, and lines that do not.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
+NOTICE = re.compile(r"©|\(c\)|copyright|all rights reserved", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 SPACE = re.compile(r"\s+")
@@ -275,22 +280,51 @@ def best(root: Node) -> list[Node]:
     top = max(node_of, key=lambda k: points[k])
     n = node_of[top]
     # What stands in an article is the article's: its head and other sections belong to it.
-    up = n
-    while up is not None and up.tag != "article":
-        up = up.parent
-    if up is not None:
-        return [up]
-    if n.parent is None:
-        return [n]
-    limit, out = max(10.0, points[top] * 0.2), []
-    for c in n.parent.parts:
-        if not isinstance(c, Node) or c.hidden:
-            continue
-        a, b = size[id(c)]
-        density = b / a if a else 0.0
-        if c is n or points.get(id(c), 0.0) >= limit or c.tag == "p" and (a > 80 and density < 0.25 or a and not density and re.search(r"\.(\s|$)", own_text(c))) or c.tag in ("h1", "h2") and a and not density:
-            out.append(c)
-    return out
+    article = nearest(n, "article")
+    if article is None:
+        return [n] if n.parent is None else siblings(n, points, size, max(10.0, points[top] * 0.2))
+    main = nearest(article, "main")
+    if main is None:
+        return [c for c in article.parent.parts if c is article or isinstance(c, Node) and c.tag == "article" and worthy(c, article, points, size)] if article.parent is not None else [article]
+    # Articles of one main part are all its text, but for teasers; they come in page order.
+    return [c for c in walk(main) if c.tag == "article" and nearest(c.parent, "article") is None and (c is article or worthy(c, article, points, size))]
+
+
+def nearest(n: Node | None, tag: str) -> Node | None:
+    """The outermost element of that tag around a node, or the node itself."""
+    found = None
+    while n is not None:
+        if n.tag == tag:
+            found = n
+        n = n.parent
+    return found
+
+
+def density(n: Node, size: dict) -> float:
+    a, b = size[id(n)]
+    return b / a if a else 0.0
+
+
+def worthy(c: Node, best_one: Node, points: dict, size: dict) -> bool:
+    """Whether an article beside the best one is text and no teaser: few links, and paragraphs of its own."""
+    return not c.hidden and size[id(c)][0] > 0 and density(c, size) < 0.25 and points.get(id(c), 0.0) >= min(12.0, 0.2 * points.get(id(best_one), 0.0))
+
+
+def siblings(n: Node, points: dict, size: dict, limit: float) -> list[Node]:
+    """The best container, siblings whose score or text is good enough, and the text blocks that stand between or next to them."""
+    beside = [c for c in n.parent.parts if isinstance(c, Node) and not c.hidden and size.get(id(c), (0, 0))[0]]
+    own = []
+    for c in beside:
+        a, d = size[id(c)][0], density(c, size)
+        sentence = c.tag == "p" and (a > 80 and d < 0.25 or not d and re.search(r"\.(\s|$)", own_text(c)))
+        own.append(c is n or points.get(id(c), 0.0) >= limit or bool(sentence) or c.tag in ("h1", "h2") and not d)
+    first, last = own.index(True), len(own) - 1 - own[::-1].index(True)
+    block = [c.tag in TEXT_BLOCKS and density(c, size) < 0.25 and not NOTICE.search(own_text(c)) for c in beside]
+    while first and block[first - 1]:
+        first -= 1
+    while last + 1 < len(beside) and block[last + 1]:
+        last += 1
+    return [c for k, c in enumerate(beside) if own[k] or first <= k <= last and block[k]]
 
 
 def extract(page: str | None) -> str:

@@ -30,6 +30,15 @@ CASES = {
         f"<div class='page with-sidebar'><div class='main-content' id=content><h2>T</h2><p>{LONG}</p><div class='entry-share'>Share {LONG}</div><div class='comment-body'><p>{LONG}</p></div><p>{LONG}</p><div class='post-footer'><p>{LONG}</p></div></div><div id=rightSidebar><p>{LONG}</p></div></div>",
         f"T\n{LONG.strip()}\n{LONG.strip()}",
     ),
+    "articles": (
+        f"<main><h1>News</h1><article><h2>First</h2><p>{LONG * 3}</article><div><article><h2>Second</h2><p>{LONG * 2}<ul><li>point</ul></article></div><article class=teaser><a href=x>Read the other story that is on this site</a></article></main>",
+        f"First\n{(LONG * 3).strip()}\nSecond\n{(LONG * 2).strip()}\npoint",
+    ),
+    "siblings": (
+        f"<body><div class=menu><a href=1>One</a></div><div id=wrap><h1>Title</h1><p>By Someone</p><div class=body><p>{LONG * 3}</p><p>{LONG * 3}</p></div><p>Short line</p><ul><li>first thing<li>second thing</ul><blockquote>Quoted words</blockquote><div class=links><a href=1>More</a> <a href=2>Other</a></div><p>Copyright 2020 Some Body</p></div></body>",
+        f"Title\nBy Someone\n{(LONG * 3).strip()}\n{(LONG * 3).strip()}\nShort line\nfirst thing\nsecond thing\nQuoted words",
+    ),
+    "nested": (f"<article><h1>Head</h1><p>{LONG * 3}</p><article><h2>Part</h2><p>{LONG}</p></article></article>", f"Head\n{(LONG * 3).strip()}\nPart\n{LONG.strip()}"),
     "plain": (f"<table><tr><td><a href=1>One</a> <a href=2>Two</a><td>{LONG * 4}<br><br>More of it, and the end.</table>", None),
     "deep": ("<div>" * 5000 + f"<p>{LONG}</p>", LONG.strip()),
 }
