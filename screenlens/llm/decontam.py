@@ -1,22 +1,30 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The corpus is cut into segments of whole documents. A segment is one row of the index table in the
-shared folder: its documents and, for each benchmark term, the sorted list of positions (posting
-lists in one array with pointers). Terms no benchmark item has are left out, as nothing can ask for
-them. A phrase is answered inside a segment: its terms' lists, each shifted by the term's offset,
-are intersected from the rarest on. Documents lie a gap apart, so no phrase crosses them. Segments
-need no exchange with one another, whatever is frequent in them.
+shared folder: its documents, the sorted list of its terms, and for each term the sorted list of its positions, for all
+tokens (differences of positions in one array, with pointers). The index knows no benchmark: it is built once, and
+any number of benchmarks, or blocks of one, are answered from it. Segments need no exchange with one another, whatever is
+frequent in them.
+
+* Phrases: the lists of a window's terms, each shifted by the term's offset, are intersected from the rarest on.
+  Documents lie a gap apart, so no phrase crosses them.
+* Proximity: an item's consecutive blocks of `width` words match where one document has all of a block's words, in
+  any order, within `reach` words; places are looked for around the rarest term.
 
 The benchmark is the stated query set. It is broadcast in blocks of at most about `block_chars`
 characters; with several blocks, the answers of the blocks meet by document.
 
 Defined results: null or word-free text has no words and no hits; items without words, or null,
 have no window; a null item_id counts as the empty string and items that share an id as one; rows
-that repeat a doc_id are answered each for itself; other columns are ignored.
+that repeat a doc_id are answered each for itself; texts are read whole, and one longer than a segment is a segment of its
+own; a word at the same distance on both sides counts once; empty tables give no rows, or no hits; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import collections
+import functools
 import hashlib
 
 import numpy as np
@@ -30,50 +38,59 @@ from .common import ranges, stored, tidy, tune
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Bytes of text in a segment, or one document more.
 SEGMENT = 6_000_000
-INDEX = "docs array<long>, starts array<int>, sizes array<int>, terms array<int>, ptr array<int>, positions array<int>"
-HITS = "seg long, at int, doc_id long, n_words long, first array<int>, last array<int>, items array<string>"
-OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+#: Words among which those of a block must lie for a proximity match.
+REACH = 20
+INDEX = "docs array<long>, starts array<int>, sizes array<int>, terms binary, ptr array<int>, steps array<int>"
+HITS = "seg long, at int, doc_id long, n_words long, first array<int>, last array<int>, items array<string>, near array<string>"
+OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long"
 
 
 def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(TABLE).split() if text else []
 
 
-def windows(items: list[tuple[str | None, str | None]], width: int) -> dict[tuple[bytes, ...], set[str]]:
-    """Each window and the ids of the items that have it."""
+def windows(items: list[tuple[str | None, str | None]], width: int, step: int = 1) -> dict[tuple[bytes, ...], set[str]]:
+    """Each window, beginning at every `step`th word, and the ids of the items that have it."""
     out: dict[tuple[bytes, ...], set[str]] = {}
     for item, text in items:
         w = words(text)
-        for i in range(max(len(w) - width, 0) + 1 if w else 0):
+        for i in range(0, max(len(w) - width, 0) + 1 if w else 0, step):
             out.setdefault(tuple(w[i : i + width]), set()).add("" if item is None else str(item))
     return out
 
 
 class Segment:
-    """Posting lists of some documents, by term number."""
+    """Posting lists of some documents. terms: in order; positions of the k-th are those from ptr[k] to ptr[k + 1]."""
 
-    def __init__(self, docs, starts, sizes, terms, ptr, positions):
-        self.docs = docs
-        self.starts, self.sizes, self.terms, self.ptr, self.positions = (np.asarray(x, dtype=np.int32) for x in (starts, sizes, terms, ptr, positions))
+    def __init__(self, docs, starts, sizes, terms: list[bytes], ptr, positions):
+        self.docs, self.terms = docs, terms
+        self.starts, self.sizes, self.ptr, self.positions = (np.asarray(x, dtype=np.int32) for x in (starts, sizes, ptr, positions))
 
     @classmethod
-    def build(cls, docs: list, texts: list[str | None], vocabulary: dict[bytes, int]) -> Segment:
-        get, ids, sizes = vocabulary.get, [], []
+    def build(cls, docs: list, texts: list[str | None]) -> Segment:
+        number: collections.defaultdict[bytes, int] = collections.defaultdict()
+        number.default_factory = number.__len__
+        ids, sizes = [], []
         for t in texts:
             w = words(t)
             sizes.append(len(w))
-            ids.append(np.fromiter((get(x, -1) for x in w), np.int32, len(w)))
+            ids.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
         starts = np.cumsum([0, *(n + 1 for n in sizes[:-1])]) if sizes else []
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        at = ranges(starts, sizes)
-        known = np.flatnonzero(flat >= 0)
-        order = known[np.argsort(flat[known], kind="stable")]
-        terms, ptr = np.unique(flat[order], return_index=True)
-        return cls(docs, starts, sizes, terms, np.append(ptr, len(order)), at[order])
+        terms = sorted(number)
+        rank = np.empty(len(terms), dtype=np.int32)
+        rank[np.fromiter((number[t] for t in terms), np.int64, len(terms))] = np.arange(len(terms), dtype=np.int32)
+        flat = rank[np.concatenate(ids)] if ids else np.zeros(0, np.int32)
+        order = np.argsort(flat, kind="stable")
+        ptr = np.append(0, np.cumsum(np.bincount(flat, minlength=len(terms))))
+        return cls(docs, starts, sizes, terms, ptr, ranges(starts, sizes)[order])
+
+    def numbers(self, vocabulary) -> np.ndarray:
+        """The place of each word of a vocabulary among the terms, or -1."""
+        place = {t: k for k, t in enumerate(self.terms)}
+        return np.fromiter((place.get(w, -1) for w in vocabulary), np.int32, len(vocabulary))
 
     def postings(self, term: int) -> np.ndarray:
-        k = np.searchsorted(self.terms, term)
-        return self.positions[self.ptr[k] : self.ptr[k + 1]] if k < len(self.terms) and self.terms[k] == term else self.positions[:0]
+        return self.positions[self.ptr[term] : self.ptr[term + 1]] if term >= 0 else self.positions[:0]
 
     def phrase(self, terms) -> np.ndarray:
         """Positions where the terms stand one after another: shifted lists are intersected, the rarest first."""
@@ -87,52 +104,65 @@ class Segment:
         return found
 
     def near(self, terms, reach: int) -> np.ndarray:
-        """Positions of the rarest term with every other term at most `reach` words away in the same document."""
-        lists = sorted((self.postings(t) for t in terms), key=len)
+        """Positions of the rarest term that lie, in one document, with all other terms within `reach` words."""
+        lists = sorted((self.postings(t) for t in set(map(int, terms))), key=len)
         found = lists[0]
-        doc = self.owner(found)
         for p in lists[1:]:
+            if not len(found):
+                return found
+            # Another term within reach on either side; what is further in that list is further away.
             i = np.searchsorted(p, found)
             ok = np.zeros(len(found), bool)
             for j in (i - 1, i) if len(p) else ():
                 q = p[np.clip(j, 0, len(p) - 1)]
-                ok |= (np.abs(q - found) <= reach) & (self.owner(q) == doc)
-            found, doc = found[ok], doc[ok]
-        return found
+                ok |= (np.abs(q - found) < reach) & (self.owner(q) == self.owner(found))
+            found = found[ok]
+        return found[np.fromiter((self._covered(lists[1:], int(x), reach) for x in found), bool, len(found))]
+
+    def _covered(self, lists, x: int, reach: int) -> bool:
+        """Whether some `reach` words that hold place x have a place of each list."""
+        d = int(self.owner(np.array([x]))[0])
+        low, high = max(x - reach + 1, int(self.starts[d])), min(x + reach, int(self.starts[d] + self.sizes[d]))
+        at = [p[np.searchsorted(p, low) : np.searchsorted(p, high)] for p in lists]
+        starts = {x, *(int(v) for p in at for v in p if v <= x)}
+        return any(all(((p >= s) & (p < s + reach)).any() for p in at) for s in starts)
 
     def owner(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, positions, side="right") - 1
 
-    def present(self, matrix: np.ndarray) -> np.ndarray:
-        """For each row of term numbers (-1: none): whether all of them have postings here."""
-        if not len(self.terms):
-            return np.zeros(len(matrix), bool)
-        i = np.minimum(np.searchsorted(self.terms, matrix), len(self.terms) - 1)
-        return ((self.terms[i] == matrix) | (matrix < 0)).all(1)
+    def present(self, matrix: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """For each row of word numbers (-1: none): whether all of them have postings here; place: that of each word among the terms."""
+        return ((matrix < 0) | (np.append(place, -1)[matrix] >= 0)).all(1)
 
 
 class Queries:
-    """Windows as rows of term numbers, each with its item ids."""
+    """Windows (each phrase) and blocks (each to be found within reach) as rows of word numbers, each with its item ids."""
 
-    def __init__(self, found: dict[tuple[bytes, ...], set[str]], width: int):
-        self.vocabulary: dict[bytes, int] = {}
-        self.matrix = np.full((len(found), width), -1, dtype=np.int32)
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
+        number: dict[bytes, int] = {}
+        self.windows, self.items = self._rows(windows(items, width), width, number)
+        self.blocks, self.near_items = self._rows(windows(items, width, width), width, number)
+        self.vocabulary = list(number)
+
+    def _rows(self, found: dict[tuple[bytes, ...], set[str]], width: int, number: dict[bytes, int]):
+        matrix = np.full((len(found), width), -1, dtype=np.int32)
         for k, w in enumerate(found):
-            self.matrix[k, : len(w)] = [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w]
-        self.size = (self.matrix >= 0).sum(1)
-        self.items = [sorted(x) for x in found.values()]
+            matrix[k, : len(w)] = [number.setdefault(x, len(number)) for x in w]
+        return matrix, [sorted(x) for x in found.values()]
 
 
-def build_index(docs: DataFrame, queries) -> DataFrame:
-    """The index table of docs (doc_id, text) for the broadcast queries' terms; one row a segment."""
+def build_index(docs: DataFrame) -> DataFrame:
+    """The index table of docs (doc_id, text) with the postings of all tokens; one row a segment."""
 
     def build(batches):
         ids, texts, size = [], [], 0
 
         def row():
-            s = Segment.build(ids, texts, queries.value.vocabulary)
-            one = lambda x, t: pa.array([x], pa.list_(t))
-            return pa.RecordBatch.from_arrays([one(s.docs, pa.int64()), *(one(x, pa.int32()) for x in (s.starts, s.sizes, s.terms, s.ptr, s.positions))], names=["docs", "starts", "sizes", "terms", "ptr", "positions"])
+            s = Segment.build(ids, texts)
+            one = lambda x, t: pa.array([x], t)
+            steps = np.diff(s.positions, prepend=np.int32(0))
+            lists = {"docs": one(s.docs, pa.list_(pa.int64())), "starts": one(s.starts, pa.list_(pa.int32())), "sizes": one(s.sizes, pa.list_(pa.int32())), "terms": one(b" ".join(s.terms), pa.binary()), "ptr": one(s.ptr, pa.list_(pa.int32())), "steps": one(steps, pa.list_(pa.int32()))}
+            return pa.RecordBatch.from_pydict(lists)
 
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -148,32 +178,42 @@ def build_index(docs: DataFrame, queries) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidy(build), INDEX)
 
 
-def answer(index: DataFrame, queries) -> DataFrame:
-    """For each document of each segment: the word ranges that windows hit and the items concerned."""
+def segments(batch):
+    """(seg, Segment) of each row of an index table's batch."""
+    for k, seg in enumerate(batch.column("seg").to_pylist()):
+        starts, sizes, ptr, steps = (batch.column(x)[k].values.to_numpy(zero_copy_only=False) for x in ("starts", "sizes", "ptr", "steps"))
+        yield seg, Segment(batch.column("docs")[k].as_py(), starts, sizes, batch.column("terms")[k].as_py().split(), ptr, np.cumsum(steps, dtype=np.int32))
+
+
+def answer(index: DataFrame, queries, reach: int = REACH) -> DataFrame:
+    """For each document of each segment: the word ranges that windows hit, the items concerned, and the items with a block within reach."""
 
     def search(batches):
         q = queries.value
         for b in batches:
-            seg = b.column("seg").to_pylist()
-            for k in range(b.num_rows):
-                s = Segment(b.column("docs")[k].as_py(), *(b.column(x)[k].values.to_numpy(zero_copy_only=False) for x in ("starts", "sizes", "terms", "ptr", "positions")))
+            for seg, s in segments(b):
+                place = s.numbers(q.vocabulary)
                 first: dict[int, list[int]] = {}
                 last: dict[int, list[int]] = {}
                 items: dict[int, set[str]] = {}
-                for w in np.flatnonzero(s.present(q.matrix)):
-                    n = int(q.size[w])
-                    at = s.phrase(q.matrix[w, :n])
+                near: dict[int, set[str]] = {}
+                for w in np.flatnonzero(s.present(q.windows, place)):
+                    terms = q.windows[w][q.windows[w] >= 0]
+                    at = s.phrase(place[terms])
                     for d, p in zip(s.owner(at).tolist(), at.tolist(), strict=True):
                         p -= int(s.starts[d])
                         first.setdefault(d, []).append(p)
-                        last.setdefault(d, []).append(p + n)
+                        last.setdefault(d, []).append(p + len(terms))
                         items.setdefault(d, set()).update(q.items[w])
+                for w in np.flatnonzero(s.present(q.blocks, place)):
+                    for d in set(s.owner(s.near(place[q.blocks[w][q.blocks[w] >= 0]], reach)).tolist()):
+                        near.setdefault(d, set()).update(q.near_items[w])
                 n = len(s.docs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([seg[k]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(s.docs, pa.int64()), pa.array(s.sizes, pa.int64())]
+                    [pa.array([seg] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(s.docs, pa.int64()), pa.array(s.sizes, pa.int64())]
                     + [pa.array([x.get(d, []) for d in range(n)], pa.list_(pa.int32())) for x in (first, last)]
-                    + [pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string()))],
-                    names=["seg", "at", "doc_id", "n_words", "first", "last", "items"],
+                    + [pa.array([sorted(x.get(d, ())) for d in range(n)], pa.list_(pa.string())) for x in (items, near)],
+                    names=["seg", "at", "doc_id", "n_words", "first", "last", "items", "near"],
                 )
 
     return index.mapInArrow(tidy(search), HITS)
@@ -193,29 +233,37 @@ def finish(hits: DataFrame) -> DataFrame:
         for b in batches:
             n = [covered(x, y) for x, y in zip(b.column("first").to_pylist(), b.column("last").to_pylist(), strict=True)]
             items = [sorted(set(x)) for x in b.column("items").to_pylist()]
+            near = [len(set(x)) for x in b.column("near").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_words"), pa.array(n, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([x > 0 for x in n])],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                [b.column("doc_id"), b.column("n_words"), pa.array(n, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([x > 0 for x in n], pa.bool_()), pa.array(near, pa.int64())],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"],
             )
 
     return hits.mapInArrow(tidy(digest), OUT)
 
 
-def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 16_000_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs (doc_id, text)."""
-    tune(spark)
+def index(docs: DataFrame) -> DataFrame:
+    """The index of docs (doc_id, text), written to the shared folder; `look_up` answers any benchmark from it."""
+    tune(docs.sparkSession)
+    return stored(build_index(docs).withColumn("seg", F.monotonically_increasing_id()), "postings")
+
+
+def look_up(postings: DataFrame, benchmark: DataFrame, width: int = 10, reach: int = REACH, block_chars: int = 16_000_000) -> DataFrame:
+    """Columns OUT of every document of an index for benchmark (item_id, text). n_near counts the items with a block of `width` words within `reach` words of a document."""
     benchmark = benchmark.select("item_id", "text").where("text is not null")
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // block_chars) or 1
     parts = []
     for k in range(blocks):
         block = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        q = spark.sparkContext.broadcast(Queries(windows([(r.item_id, r.text) for r in block.toLocalIterator()], width), width))
-        index = stored(build_index(docs, q).withColumn("seg", F.monotonically_increasing_id()), "postings")
-        parts.append(answer(index, q))
+        q = postings.sparkSession.sparkContext.broadcast(Queries([(r.item_id, r.text) for r in block.toLocalIterator()], width))
+        parts.append(answer(postings, q, reach))
     if blocks == 1:
         return finish(parts[0])
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    return finish(hits.groupBy("seg", "at").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("first", "last", "items"))))
+    hits = functools.reduce(DataFrame.unionByName, parts)
+    return finish(hits.groupBy("seg", "at").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("first", "last", "items", "near"))))
+
+
+def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 16_000_000, reach: int = REACH) -> DataFrame:
+    """Columns OUT of every row of docs (doc_id, text)."""
+    return look_up(index(docs), benchmark, width, reach, block_chars)

@@ -68,10 +68,21 @@ p0 as (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) i from d,
 p as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') s from p0),
 h as (select p.doc_id, p.i, p.n, q.item from p join q on p.s = q.s and p.n = q.n),
 c as (select doc_id, count(distinct pos) n_hit from (select doc_id, unnest(generate_series(i, i + n - 1)) pos from h) group by 1),
-t as (select doc_id, count(distinct item) n_items, string_agg(distinct item, ',' order by item) items from h group by 1)
+t as (select doc_id, count(distinct item) n_items, string_agg(distinct item, ',' order by item) items from h group by 1),
+b1 as (select row_number() over () r, item, w from b where len(w) > 0),
+b2 as (select r, item, w, unnest(generate_series(1, greatest(len(w) - 9, 1), 10)) i from b1),
+b3 as (select distinct r, i, item, unnest(w[i:i + 9]) word from b2),
+b4 as (select r, i, count(*) k from b3 group by 1, 2),
+dw as (select doc_id, unnest(w) word, unnest(generate_series(1, len(w))) pos from d),
+x0 as (select doc_id, r, i, item, word, pos from b3 join dw using (word)),
+x1 as (select doc_id, r, i, any_value(k) k from x0 join b4 using (r, i) group by 1, 2, 3 having count(distinct word) = any_value(k)),
+x2 as (select x0.*, k from x0 join x1 using (doc_id, r, i)),
+x3 as (select s.doc_id, s.r, s.i, s.item, s.pos from x2 s join x2 e on s.doc_id = e.doc_id and s.r = e.r and s.i = e.i and e.pos between s.pos and s.pos + 19
+group by 1, 2, 3, 4, 5 having count(distinct e.word) = any_value(s.k)),
+x4 as (select doc_id, count(distinct item) n_near from x3 group by 1)
 select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
-sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
-from d left join c using (doc_id) left join t using (doc_id)""",
+sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated, coalesce(n_near, 0)::bigint n_near
+from d left join c using (doc_id) left join t using (doc_id) left join x4 using (doc_id)""",
     "op9_line_dedup": rf"""
 with l0 as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
 l as (select doc_id, unnest(ls) line, unnest(generate_series(1, len(ls))) i from l0),

@@ -88,7 +88,13 @@ def brute_hits(table, items, width=10):
                 if tuple(w[k : k + len(x)]) == x:
                     hit |= set(range(k, k + len(x)))
                     found |= names
-        out.append((i, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+        near = set()
+        for name, text in items:
+            words = split(text)
+            for a in range(0, max(len(words) - width, 0) + 1 if words else 0, width):
+                if any(set(words[a : a + width]) <= set(w[k : k + 2 * width]) for k in range(len(w))):
+                    near.add(name)
+        out.append((i, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit), len(near)))
     return sorted(out, key=repr)
 
 
@@ -103,10 +109,24 @@ def test_decontamination(spark, docs, chars):
 
 
 def test_proximity():
-    v = {b"a": 0, b"b": 1}
-    s = decontam.Segment.build([1, 2], ["a x x b", "b a"], v)
-    assert s.near([0, 1], 3).tolist() == [0, 6] or s.near([0, 1], 3).tolist() == [3, 5]
-    assert len(s.near([0, 1], 1)) == 1 and len(s.near([0, 7], 9)) == 0
+    """All places of the rarest word whose other words lie within reach, as by trying every span."""
+    import random
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(40))) for _ in range(30)] + ["", None, "a"]
+    s = decontam.Segment.build(list(range(len(texts))), texts)
+    for _ in range(60):
+        block, reach = [rng.choice("abcdefghijz").encode() for _ in range(rng.randrange(1, 5))], rng.randrange(1, 9)
+        got = set(s.owner(s.near(s.numbers(block), reach)).tolist())
+        want = {d for d, t in enumerate(texts) if any(set(block) <= set(decontam.words(t)[k : k + reach]) for k in range(len(decontam.words(t))))}
+        assert got == want
+
+
+def test_one_index_answers_any_benchmark(spark, docs):
+    index = decontam.index(docs)
+    for text in ("a b c d e f g h i j", "the cat", "no such words", "WORD"):
+        bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+        assert rows(decontam.look_up(index, bench), "doc_id", "n_hit", "n_near") == rows(decontam.scan(spark, docs, bench), "doc_id", "n_hit", "n_near")
 
 
 # language
