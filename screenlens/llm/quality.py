@@ -11,7 +11,9 @@ the list are applied to all whole texts.
 
 Defined results: a null text has no words and every count 0; unlabelled rows, and rows with a null
 label, are not learned from; with nothing to learn the list is empty and keeps all; several labels of
-a document count each; repeated rows get equal results; other columns are ignored.
+a document are one by majority, and none if they tie; of rows that repeat a doc_id one is learned from; conditions of equal
+gain go by the order of FEATURES, then by threshold; texts are read whole, whatever their length; an empty table gives an
+empty one; repeated rows get equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -154,6 +156,14 @@ def prune(rule: list[Condition], positive: list, negative: list) -> tuple[list[C
     return best, *found
 
 
+def tightest(rule: list[Condition]) -> list[Condition]:
+    """The rule without conditions that a later one of the same feature and direction implies."""
+    out: dict[tuple[int, bool], Condition] = {}
+    for c in rule:
+        out[c.feature, c.above] = c
+    return list(out.values())
+
+
 def learn(rows: list[tuple[bool, tuple]], precision: float = 0.95, longest: int = 4, most: int = 16) -> list[list[Condition]]:
     """Ordered rules for the rows marked true; rows: (mark, features), in a fixed order."""
     rules: list[list[Condition]] = []
@@ -168,7 +178,7 @@ def learn(rows: list[tuple[bool, tuple]], precision: float = 0.95, longest: int
         rule, exact, caught = prune(rule, parts[0][1], parts[1][1])
         if exact < precision or not caught:
             break
-        rules.append(rule)
+        rules.append(tightest(rule))
         positive, negative = ([r for r in x if not covers(rule, r)] for x in (positive, negative))
     return rules
 
@@ -192,14 +202,15 @@ def with_features(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[list[Condition]]:
     """Rules for bad documents (quality 0) from about `max_rows` labelled rows at most."""
-    marked = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null")
+    marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.when(F.col("quality") == 0, 0.0).otherwise(1.0)).alias("good")).where("good <> 0.5")
     n = marked.count()
     if not n:
         return []
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(min(1.0, max_rows / n) * (1 << 30))
     sample = F.broadcast(marked.where(drawn))
-    rows = with_features(docs.select("doc_id", "text").join(sample.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", "f").join(sample, "doc_id")
-    found = sorted((shuffled(r.doc_id), r.doc_id, r.quality == 0, tuple(r.f)) for r in rows.select("doc_id", "quality", "f").toLocalIterator())
+    texts = docs.select("doc_id", "text").join(sample.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    rows = with_features(texts).select("doc_id", "f").join(sample, "doc_id")
+    found = sorted((shuffled(r.doc_id), r.doc_id, r.good < 0.5, tuple(r.f)) for r in rows.select("doc_id", "good", "f").toLocalIterator())
     return learn([(m, f) for _, _, m, f in found])
 
 
