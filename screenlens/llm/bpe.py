@@ -8,7 +8,7 @@ into memory. Batches of words walk it together in numpy. Words it lacks are merg
 the lexicon has no influence on results. The tokenizer file is only read, never trained.
 
 Defined results: a null text counts as empty and has no token; texts are encoded whole; the special
-tokens' strings become their ids; repeated rows are encoded alike; other columns are ignored.
+tokens' strings become their ids; a word of any length is merged exactly; words of equal numbers go to the lexicon in their order; an empty table gives an empty one; repeated rows are encoded alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +28,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, tidy, tune
+from .common import CACHES, release, tidy, tune
 
 LEXICON_WORDS = 120_000
-#: Distinct words whose ids a worker remembers, and that a task counts before it lets the rare half go.
+#: Distinct words whose ids a worker remembers, and that a task counts before it gives what it has.
 REMEMBERED, COUNTED = 120_000, 250_000
+#: Characters of the longest word that the lexicon takes or a worker remembers; longer ones are merged each time.
+LONGEST = 64
 SCHEMA = "ids binary, decoded string"
 NAME = "word_bpe_49k.json"
 
@@ -290,8 +292,12 @@ class Codec:
             self.known = {}
         self.learn([w for w in need if w not in self.known])
         get = self.known.__getitem__
+        long = [w for w in need if len(w) > LONGEST]
         special = lambda p: int(self.merges.special[p]).to_bytes(4, "little")
-        return [b"".join(special(p) if x is None else b"".join(map(get, x)) for p, x in run) for run in runs]
+        out = [b"".join(special(p) if x is None else b"".join(map(get, x)) for p, x in run) for run in runs]
+        for w in long:
+            del self.known[w]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The tokens joined by spaces: the tokenizer has no decoder of its own."""
@@ -303,6 +309,9 @@ def _codec(path: str, key: int, block: Broadcast) -> Codec:
     return Codec(path, block.value)
 
 
+CACHES.append(_codec.cache_clear)
+
+
 def groups(texts: list[str | None], limit: int = 500_000):
     part, size = [], 0
     for t in texts:
@@ -331,21 +340,26 @@ def codec_udf(path: str, block: Broadcast, key: int):
 
 
 def word_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(word, n): the words that are frequent in the tasks' rows, over all rows of docs (text)."""
+    """(word, n): parts of the numbers of all words of docs (text) of up to LONGEST characters; a task gives what it counted whenever it holds COUNTED words."""
 
     def count(batches):
         c: collections.Counter = collections.Counter()
         pieces = Splitter(path).pieces
+
+        def out():
+            found = [x for x in c.items() if len(x[0]) <= LONGEST]
+            for k in range(0, len(found), 20_000):
+                part = found[k : k + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
+            c.clear()
+
         for b in batches:
             for t in b.column("text").to_pylist():
                 if t:
                     c.update(pieces(t))
-            if len(c) > COUNTED:
-                c = collections.Counter(dict(c.most_common(COUNTED // 2)))
-        top = [(w, n) for w, n in c.most_common(LEXICON_WORDS) if n > 1]
-        for k in range(0, len(top), 20_000):
-            part = top[k : k + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
+                if len(c) > COUNTED:
+                    yield from out()
+        yield from out()
 
     return docs.select("text").mapInArrow(tidy(count), "word string, n long")
 

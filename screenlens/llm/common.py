@@ -90,10 +90,16 @@ def release() -> None:
         pass
 
 
+#: Functions that empty what a worker keeps for one operator.
+CACHES: list[Callable] = []
+
+
 def tidy(run: Callable) -> Callable:
-    """A function of batches that releases memory when it ends."""
+    """A function of batches that releases memory when it ends, and before it begins what the worker kept for other operators."""
 
     def inner(batches):
+        for empty in CACHES:
+            empty()
         try:
             yield from run(batches)
         finally:
