@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,38 +84,89 @@ def merge_lines(first: Column, second: Column) -> Column:
     return in_order(F.aggregate(two, one, step))
 
 
-def words_to_lines(words: DataFrame, by: list[str]) -> DataFrame:
-    """Word rows (level, page_num, block_num, par_num, line_num, pos, left, top, width, height, text) to lines.
+#: The columns of an OCR table that tell a word's line, and those that are numbers.
+LINE_KEY = ("page_num", "block_num", "par_num", "line_num")
+NUMBERS = ("level", "left", "top", "width", "height")
 
-    `pos` is the row's order within `by`, the image. A line's words are collected in order, boxes are
-    widened only by rows from the first word on. Rows are dealt by image once: both aggregations, by line and
-    by image, work on that. Returns by, text and lines.
-    """
-    rows = words.where(safe_int(F.col("level")).isin(4, 5)).repartition(*by)
-    n = {c: safe_int(F.col(c)) for c in ("level", "left", "top", "width", "height")}
-    row = F.struct(
-        F.col("pos"),
-        (n["level"] == 4).alias("own"),
+
+def word(value: Callable[[str], Column], pos: Column) -> Column:
+    """One row of an OCR table as a struct that sorts by line and place; value: a column's text by name."""
+    n = {c: safe_int(value(c)) for c in NUMBERS}
+    own = n["level"] == 4
+    return F.struct(
+        F.concat_ws("\t", *(F.coalesce(value(c).cast("string"), F.lit("")) for c in LINE_KEY)).alias("key"),
+        pos.cast("long").alias("pos"),
+        n["level"].alias("level"),
+        own.alias("own"),
         n["left"].alias("x"),
         n["top"].alias("y"),
         (n["left"] + F.greatest(n["width"], F.lit(0))).alias("right"),
         (n["top"] + F.greatest(n["height"], F.lit(0))).alias("bottom"),
-        F.when(n["level"] == 4, "").otherwise(normalize(F.col("text"), 80)).alias("word"),
+        F.when(own, "").otherwise(normalize(value("text"), 80)).alias("word"),
     )
-    key = ["page_num", "block_num", "par_num", "line_num"]
-    lines = rows.groupBy(*by, *key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(*(F.get("rows", F.lit(0))[c].alias(c) for c in ("x", "y", "right", "bottom")), F.lit(False).alias("some"))
-
-    def step(acc: Column, r: Column) -> Column:
-        some = acc["some"] | (r["word"] != "")
-        widen = r["own"] | some
-        x = F.when(r["own"], r["x"]).when(some, F.least(acc["x"], r["x"])).otherwise(acc["x"])
-        y = F.when(r["own"], r["y"]).when(some, F.least(acc["y"], r["y"])).otherwise(acc["y"])
-        return F.struct(x.alias("x"), y.alias("y"), F.when(widen, F.greatest(acc["right"], r["right"])).otherwise(acc["right"]).alias("right"), F.when(widen, F.greatest(acc["bottom"], r["bottom"])).otherwise(acc["bottom"]).alias("bottom"), some.alias("some"))
-
-    text = normalize(F.array_join(F.filter(F.transform("rows", lambda r: r["word"]), lambda w: w != ""), " "), 220)
-    boxed = lines.select(*by, text.alias("text"), F.get("rows", F.lit(0))["pos"].alias("pos"), F.aggregate("rows", start, step).alias("b")).where("text <> ''")
-    x, y = F.greatest(F.col("b.x"), F.lit(0)), F.greatest(F.col("b.y"), F.lit(0))
-    ready = boxed.select(*by, F.struct(y.alias("y"), x.alias("x"), "pos", line(F.col("text"), x, y, F.greatest(F.col("b.right"), x + 1) - x, F.greatest(F.col("b.bottom"), y + 1) - y).alias("v")).alias("k"))
-    all_lines = F.transform(F.array_sort(F.collect_list("k")), lambda k: k["v"])
-    return ready.groupBy(*by).agg(all_lines.alias("lines")).withColumn("text", normalize(F.array_join(F.transform("lines", lambda v: v["text"]), " "), 1600))
+
+
+def lines_of(words: Column) -> Column:
+    """struct<text, lines> of one image's `word` structs: rows of a line are neighbours once sorted.
+
+    A line's box is its own row's (level 4), widened by the rows from the first word on.
+    """
+
+    def widened(acc: Column, v: Column) -> Column:
+        some = acc["some"] | (v["word"] != "")
+        low = lambda c: F.when(v["own"], v[c]).when(some, F.least(acc[c], v[c])).otherwise(acc[c])
+        high = lambda c: F.when(v["own"] | some, F.greatest(acc[c], v[c])).otherwise(acc[c])
+        return F.struct(low("x").alias("x"), low("y").alias("y"), high("right").alias("right"), high("bottom").alias("bottom"), some.alias("some"))
+
+    def one(rows: Column) -> Column:
+        first = F.get(rows, F.lit(0))
+        start = F.struct(*(first[c].alias(c) for c in ("x", "y", "right", "bottom")), F.lit(False).alias("some"))
+        text = normalize(F.array_join(F.filter(F.transform(rows, lambda v: v["word"]), lambda w: w != ""), " "), 220)
+
+        def placed(b: Column) -> Column:
+            x, y = F.greatest(b["x"], F.lit(0)), F.greatest(b["y"], F.lit(0))
+            return F.struct(y.alias("y"), x.alias("x"), first["pos"].alias("pos"), line(text, x, y, F.greatest(b["right"], x + 1) - x, F.greatest(b["bottom"], y + 1) - y).alias("v"))
+
+        return let(F.aggregate(rows, start, widened), placed)
+
+    def parted(rows: Column) -> Column:
+        begins = F.filter(F.transform(rows, lambda v, i: i), lambda i: (i == 0) | (F.get(rows, i)["key"] != F.get(rows, i - 1)["key"]))
+        return let(begins, lambda at: F.transform(at, lambda a, k: one(F.slice(rows, a + 1, F.coalesce(F.get(at, k + 1), F.size(rows)) - a))))
+
+    def whole(ls: Column) -> Column:
+        return F.struct(normalize(F.array_join(F.transform(ls, lambda v: v["text"]), " "), 1600).alias("text"), ls.alias("lines"))
+
+    found = let(F.array_sort(F.filter(words, lambda v: v["level"].isin(4, 5))), parted)
+    return let(F.transform(F.array_sort(F.filter(found, lambda k: k["v"]["text"] != "")), lambda k: k["v"]), whole)
+
+
+def words_to_lines(words: DataFrame, by: list[str]) -> DataFrame:
+    """Word rows (level, page_num, block_num, par_num, line_num, pos, left, top, width, height, text) to lines.
+
+    `pos` is the row's order within `by`, the image: its rows meet once. Returns by, text and lines of the images that have lines.
+    """
+    met = words.groupBy(*by).agg(F.collect_list(word(F.col, F.col("pos"))).alias("_words"))
+    return met.select(*by, lines_of(F.col("_words")).alias("_o")).where(F.size("_o.lines") > 0).select(*by, "_o.text", "_o.lines")
+
+
+#: A field of a table with tabs; quotes at its beginning may hold tabs and line breaks, and two quotes are one.
+FIELD = r'(?:"(?:[^"]++|"")*+"?[^\t\r\n]*+|[^\t\r\n]*+)'
+QUOTED = r'(?s)^"((?:[^"]++|"")*+)"?(.*)$'
+
+
+def tsv_lines(tsv: Column) -> Column:
+    """struct<text, lines> of an OCR table as text: tabs between fields, names in the first row."""
+
+    def cells(record: Column) -> Column:
+        plain = lambda f: F.when(F.startswith(f, F.lit('"')), F.concat(F.replace(F.regexp_extract(f, QUOTED, 1), F.lit('""'), F.lit('"')), F.regexp_extract(f, QUOTED, 2))).otherwise(f)
+        return F.transform(F.regexp_extract_all(F.concat(F.lit("\t"), record), F.lit(rf"\t({FIELD})"), F.lit(1)), plain)
+
+    def table(records: Column) -> Column:
+        def of(names: Column) -> Column:
+            rows = F.transform(F.slice(records, F.lit(2), F.greatest(F.size(records) - 1, F.lit(0))), cells)
+            return lines_of(F.transform(rows, lambda c, i: word(lambda n: F.get(c, F.array_position(names, F.lit(n)).cast("int") - 1), i)))
+
+        return let(cells(F.coalesce(F.get(records, F.lit(0)), F.lit(""))), of)
+
+    records = F.regexp_extract_all(F.coalesce(tsv, F.lit("")), F.lit(rf"({FIELD}(?:\t{FIELD})*+)(?:\r\n|[\r\n]|\z)"), F.lit(1))
+    return let(F.filter(records, lambda x: x != ""), table)

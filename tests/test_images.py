@@ -90,12 +90,15 @@ def test_analysis(spark):
     assert again["bar_down"].chart_visual == got["bar_down"].chart_visual and not again["broken"].ok
 
 
-def test_tsv():
+def test_tsv(spark):
     head = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n"
     rows = ["4\t1\t1\t1\t1\t0\t220\t118\t220\t24\t-1\t", "5\t1\t1\t1\t1\t1\t220\t118\t92\t24\t96\tExample", "5\t1\t1\t1\t1\t2\t324\t118\t116\t24\t95\tLogin", "4\t1\t1\t1\t2\t0\t230\t250\t80\t20\t-1\t", "5\t1\t1\t1\t2\t1\t230\t250\t80\t20\t90\tEmail", "4\t1\t1\t1\t3\t0\t1\t1\t1\t1\t-1\t", "x"]
-    got = ocr.parse_tsv(head + "\n".join(rows))
-    assert got["text"] == "Example Login Email" and [v["x"] for v in got["lines"]] == [220, 230] and got["lines"][0]["width"] == 220
-    assert ocr.parse_tsv("") == {"text": "", "lines": []}
+    quoted = head + '5\t1\t1\t1\t1\t1\t5\t6\t7\t8\t96\t"a ""b"" c"\r\n5\t1\t1\t1\t2\t1\t50\t60\t7\t8\t96\t"x\ty"\n'
+    table = spark.createDataFrame([(1, head + "\n".join(rows)), (2, ""), (3, None), (4, head), (5, quoted), (6, "no table")], "id int, tsv string")
+    got = {r.id: r.o for r in table.select("id", ocr.from_tsv(F.col("tsv"), "tesseract").alias("o")).collect()}
+    assert got[1].text == "Example Login Email" and [v.x for v in got[1].lines] == [220, 230] and got[1].lines[0].width == 220 and got[1].backend == "tesseract"
+    assert all(got[k].text == "" and got[k].lines == [] for k in (2, 3, 4, 6))
+    assert [v.text for v in got[5].lines] == ['a "b" c', "x y"]
 
 
 def test_backends_and_settings(spark, monkeypatch):
