@@ -514,22 +514,12 @@ _BINS = "with b as (select date_trunc('hour', ts) h, count(*) n from events grou
 def hours(spark, sf_dir):
     """Events by hour, in order, as one series: a bin is one row after the aggregation."""
     b = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.count("*").alias("n"))
-    return ranked(b, "h")
-
-
-def ranked(df, by):
-    """df with `pos`: each row's place by a column, from 0. Range partitions are counted and offset, so that no task gets all rows."""
-    parts = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
-    local = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_k")))
-    sizes = local.groupBy("_p").agg(F.max("_r").alias("_n"))
-    first = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(first.select("_p", "_first")), "_p").withColumn("pos", F.col("_first") + F.col("_r") - 1).drop("_p", "_k", "_r", "_first")
+    return series.ranked(b, [], ["h"]).drop("_total")
 
 
 @query(_BINS.rstrip() + ", a as (select pos, pos - row_number() over (order by pos) run from s where n > 12) select min(pos)::bigint \"start\", max(pos)::bigint \"end\" from a group by run having count(*) >= 2")
 def active_segments(spark, sf_dir):
-    s = hours(spark, sf_dir).withColumn("g", F.lit(0))
-    return series.active_segments(s, ["g"], "pos", "n", 12, 2).select("start", "end")
+    return series.active_segments(hours(spark, sf_dir), [], "pos", "n", 12, 2)
 
 
 @query(
@@ -560,8 +550,9 @@ def trend_direction_array(spark, sf_dir):
 select event_type, bin::int bin, count(*) n, round(avg(value), 4) centre from b group by 1, 2"""
 )
 def equal_bins(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
-    return series.equal_bins(e, ["event_type"], "at").groupBy("event_type", "bin").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("centre"))
+    """Rows are added up in order within a bin: the mean of doubles depends on it."""
+    e = series.equal_bins(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"])
+    return e.repartition("event_type", "bin").sortWithinPartitions("event_type", "bin", "ts", "event_id").groupBy("event_type", "bin").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("centre"))
 
 
 # images, OCR, records of failures

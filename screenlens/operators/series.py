@@ -1,22 +1,59 @@
-"""Ordered series: active segments, direction, equal bins; for rows (window functions) and for arrays."""
+"""Ordered series: ranks, active segments, direction, equal bins; for rows and for arrays.
+
+A series may be as long as the table. `ranked` numbers its rows by range partitions whose counts are added up, so no task
+holds more than its part of the order; segments and bins follow from the ranks.
+"""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once, and kept in the folder that the cluster names in spark.checkpoint.dir (a local one only in local sessions without it)."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="screenlens-"))
+    return df.checkpoint()
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], name: str = "pos") -> DataFrame:
+    """df with each row's place in its group, from 0, and the group's `_total`.
+
+    Rows are dealt by ranges of (by, order), so a large group is dealt over many tasks. Their numbers in a range are kept
+    with them, as ranges drawn anew could differ; a group's rows of earlier ranges, one count a range, are added.
+    """
+    keys, low = [*by, *order], (1 << 33) - 1
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = kept(df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit(low))
+    sizes = rows.groupBy(*by, part.alias("_p")).agg(F.count("*").alias("_n"), F.min(place).alias("_low"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = sizes.select(*(F.col(c).alias(f"_{c}") for c in by), "_p", (before - F.col("_low")).alias("_first"), F.sum("_n").over(group).alias("_total"))
+    same = part == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(first, same).withColumn(name, F.col("_first") + place).drop("_id", "_p", "_first", *(f"_{c}" for c in by))
+
+
 def active_segments(df: DataFrame, by: list[str], pos: str, value: str, threshold: int, min_width: int) -> DataFrame:
     """Maximal runs of rows whose integer part is over the threshold: by, start, end (inclusive places).
 
     `pos` counts each group's rows from 0 without gaps. Active rows keep pos minus their rank along a
     run, so a run is one aggregation key.
     """
-    active = df.where(F.col(value).cast("long") > threshold)
-    run = active.withColumn("_run", F.col(pos) - F.row_number().over(Window.partitionBy(*by).orderBy(pos)))
-    return run.groupBy(*by, "_run").agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.count("*").alias("_n")).where(F.col("_n") >= min_width).select(*by, "start", "end")
+    active = ranked(df.where(F.col(value).cast("long") > threshold).select(*by, pos), by, [pos], "_k").drop("_total")
+    run = active.groupBy(*by, (F.col(pos) - F.col("_k")).alias("_run")).agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.count("*").alias("_n"))
+    return run.where(F.col("_n") >= min_width).select(*by, "start", "end")
 
 
 def segments_of(values: Column, threshold: Column, min_width: Column) -> Column:
@@ -63,6 +100,9 @@ def direction_of(values: Column, threshold) -> Column:
     return let(F.filter(F.transform(values, lambda v: v.cast("double")), lambda v: v.isNotNull()), of)
 
 
-def equal_bins(df: DataFrame, by: list[str], pos: str, bins: int = 8) -> DataFrame:
-    """df with `bin`: 1 to `bins` along pos, as even as possible, larger ones first."""
-    return df.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*by).orderBy(pos)))
+def equal_bins(df: DataFrame, by: list[str], order: list[str], bins: int = 8) -> DataFrame:
+    """df with `bin`: 1 to `bins` along the order, as even as possible, larger ones first."""
+    large, small = F.pmod(F.col("_total"), F.lit(bins)), F.floor(F.col("_total") / bins)
+    edge = large * (small + 1)
+    k = F.when(F.col("_k") < edge, F.floor(F.col("_k") / (small + 1))).otherwise(large + F.floor((F.col("_k") - edge) / F.greatest(small, F.lit(1))))
+    return ranked(df, by, order, "_k").withColumn("bin", (k + 1).cast("int")).drop("_k", "_total")
