@@ -125,19 +125,26 @@ def canonical_exact(spark, sf_dir):
     return repair.exact_labels(noisy(spark), "label").select("pos", "label", "canonical")
 
 
-@query()
+@query(
+    "with recursive " + _LABELS.removeprefix("with ").rstrip() + f", n0(pos, canonical) as (values {_CANON}), l0 as (select translate(canonical, 'lios', '1I05') label from n0 union all select label from l),\n"
+    + "src as (select label v, false address from l0), " + q.repaired("src") + "\nselect label, w repaired from l0 join repaired on label = v"
+)
 def ui_repair(spark, sf_dir):
     some = noisy(spark).select("label").unionByName(labels_of(spark, sf_dir))
     return some.select("label", repair.repair_text("label").alias("repaired"))
 
 
-@query()
+@query(
+    "with recursive e as (select conv_id, coalesce(text, '') v, row_number() over (partition by conv_id order by turn, role, text) i from conversations), src as (select v, false address from e), "
+    + q.repaired("src")
+    + f",\nc as (select conv_id, list({q.norm('w', 240)} order by i) a from e join repaired using (v) group by 1) select conv_id, {q.joined(q.distinct('a'), 6)} texts from c"
+)
 def short_text_list(spark, sf_dir):
     a = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("a"))
     return a.select("conv_id", bar(repair.repair_texts(F.col("a.text"))).alias("texts"))
 
 
-@query()
+@query("with recursive src as (select replace(url, '://', '//') v, true address from pages), " + q.repaired("src") + "\nselect page_id, w repaired from pages join repaired on replace(url, '://', '//') = v")
 def url_repair(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", repair.repair_address(F.replace("url", F.lit("://"), F.lit("//"))).alias("repaired"))
 
@@ -328,7 +335,28 @@ def line_pair_score(spark, sf_dir):
     return a.select("id", "i", "a", F.posexplode("bs").alias("j", "b")).select("id", "i", "j", F.round(lines.pair_score(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query()
+# The second reading's lines are folded into the first's one by one; a line carries the quality of its text.
+_MERGED = """case when share > 0.12::double then share when dx <= greatest(24, greatest(w, w2) * 0.75::double) and dy <= greatest(16, greatest(h, h2) * 2.0::double) then 0.1::double + 1.0::double / (1.0::double + dx + dy) end"""
+_SCORE = (
+    _MERGED.replace("share", "(greatest(0, least(a.r, b.r) - greatest(a.x, b.x)) * greatest(0, least(a.d, b.d) - greatest(a.y, b.y)) / greatest((a.r - a.x) * (a.d - a.y), (b.r - b.x) * (b.d - b.y), 1)::double)")
+    .replace("dx", "(abs((a.x + a.r) - (b.x + b.r)) / 2.0::double)")
+    .replace("dy", "(abs((a.y + a.d) - (b.y + b.d)) / 2.0::double)")
+    .replace("greatest(w, w2)", "greatest(a.r - a.x, b.r - b.x)")
+    .replace("greatest(h, h2)", "greatest(a.d - a.y, b.d - b.y)")
+)
+
+
+@query(
+    _BROWSER.replace("with p as", "with recursive p as")
+    + f""", n0 as (select id, 1 side, i, {q.norm('t', 220)} t, x, y, w, h from r union all select id, 2, i, {q.norm("translate(t, '1I0', 'lio')", 220)}, x + 5, y + 60, w, h from r),
+n1 as (select id, side, i, t, x, y, least(1280, x + w) r, least(720, y + h) d, {q.line_quality('t')} q from n0 where t <> ''),
+n2 as (select id, list({{'t': t, 'x': x, 'y': y, 'r': r, 'd': d, 'q': q}} order by y, x, i) filter (side = 1) one, list({{'t': t, 'x': x, 'y': y, 'r': r, 'd': d, 'q': q}} order by y, x, i) filter (side = 2) two from n1 group by 1),
+f as (select id, 1 k, one acc, two from n2 union all
+select id, k + 1, case when hit is null then list_append(acc, b) else list_transform(acc, lambda a, i: case when i = hit then {{'t': case when b.q > a.q then b.t else a.t end, 'x': least(a.x, b.x), 'y': least(a.y, b.y), 'r': greatest(a.r, b.r), 'd': greatest(a.d, b.d), 'q': greatest(a.q, b.q)}} else a end) end, two
+from (select id, k, acc, two, b, case when list_max(scores) is not null then list_position(scores, list_max(scores)) end hit from (select id, k, acc, two, two[k] b, list_transform(acc, lambda a: {_SCORE.replace("b.", "two[k].")}) scores from f where k <= len(two)))),
+g as (select id, unnest(acc) v, unnest(generate_series(1, len(acc))) i from f where k = len(two) + 1)
+select id, string_agg(v.t || '@' || v.x || ',' || v.y || ',' || (v.r - v.x) || ',' || (v.d - v.y), ';' order by v.y, v.x, i) lines from g group by 1"""
+)
 def merge_lines(spark, sf_dir):
     s = screens.browser_screens(spark, sf_dir)
     n = lambda c: lines.normalize_lines(c, F.col("width"), F.col("height"))

@@ -104,3 +104,45 @@ when {big} and ({matches(low, WORD)} >= 18 or {matches(low, CJK)} >= 32) then 'd
 def prompt(low: str, big: bool = True) -> str:
     return f"""(case when {has_any(low, lexicon.SETTINGS)} then 'a computer settings screen showing' when {has_any(low, lexicon.CHART)} then 'a dashboard or chart showing'
 when {has_any(low, lexicon.BROWSER)} then 'a browser window showing' when {has_any(low, lexicon.CHAT)} then 'a chat window showing' else '{'a desktop app window showing' if big else 'a screenshot of'}' end)"""
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: How alike signatures must be, by length.
+ENOUGH = "(case when length(s) >= 10 then 0.84::double when length(s) >= 7 then 0.88::double when length(s) >= 5 then 0.9::double else 0.96::double end)"
+
+
+def known_labels(source: str) -> str:
+    """CTEs, to follow `with recursive`, that end with known(x, label) for the texts x of a source.
+
+    Similarity is Ratcliff-Obershelp: the longest common piece (the first in x, then in the label), and the same left and
+    right of it. Letters in common bound it from above, which leaves few pairs to take apart.
+    """
+    values = ", ".join(f"({k}, {quoted(c)})" for k, c in enumerate(lexicon.CANONICALS))
+    longest = "list_max(list_filter(range(0, least(length(a) - i + 1, length(b) - j + 1) + 1), lambda n: substr(a, i, n) = substr(b, j, n)))"
+    best = f"list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(b) + 1), lambda j: {{'k': {longest}, 'i': -i, 'j': -j}}))))"
+    return f"""k0(pos, label) as (values {values}), k1 as (select pos, label, {signature('label')} o from k0), k2 as (select o, arg_min(label, pos) label from k1 group by 1),
+k3 as (select distinct x, {signature('x')} s from {source}), k4 as (select k3.*, k2.label same from k3 left join k2 on s = o where s <> ''),
+k5 as (select x, s, pos, label, o from k4, k1 where same is null and abs(length(s) - length(o)) <= greatest(2, length(o) // 3)),
+k6 as (select * from k5 where 2 * list_sum(list_transform(list_distinct(string_split(s, '')), lambda c: least(length(s) - length(replace(s, c, '')), length(o) - length(replace(o, c, ''))))) / (length(s) + length(o))::double >= {ENOUGH}),
+k7 as (select x, pos, s a, o b, 0::bigint k from k6 union all
+select x, pos, unnest([substr(a, 1, -m.i - 1), substr(a, -m.i + m.k)]), unnest([substr(b, 1, -m.j - 1), substr(b, -m.j + m.k)]), unnest([m.k, 0]) from (select x, pos, a, b, {best} m from k7 where a <> '' and b <> '') where m.k > 0),
+k8 as (select x, pos, 2.0::double * sum(k) / any_value(length(s) + length(o)) ratio, any_value(s) s, any_value(label) label from k7 join k6 using (x, pos) group by 1, 2),
+k9 as (select x, label, row_number() over (partition by x order by ratio desc, pos) n from k8 where ratio >= {ENOUGH}),
+known as (select x, same label from k4 where same is not null union all select x, label from k9 where n = 1)"""
+
+
+def repaired(source: str) -> str:
+    """CTEs that end with repaired(v, address, w): the texts of source(v, address) with what OCR misread put right."""
+    url = r"^((?i)https?://)?([^/\s]+)(/[^?\s#]*)?(.*)$"
+    return f"""r0 as (select distinct v, address, {stabilize('v')} t from {source}),
+r1 as (select v, address, t, t <> '' and (address or {url_like('t')}) u, not (t = '' or address or {url_like('t')}) and length(t) <= 80 and not (regexp_matches(t, '{CJK}') and regexp_matches(t, '[A-Za-z]')) short from r0),
+r2 as (select v, address, case when regexp_matches(t, '^(?i)https?:/([^/]|$)') then lower(regexp_extract(t, '^(?i)https?')) || '://' || regexp_replace(t, '^(?i)https?:/', '') else t end t from r1 where u),
+r3 as (select v, address, t, regexp_matches(t, '{url}') fits, regexp_extract(t, '{url}', 1) scheme, regexp_extract(t, '{url}', 2) host, string_split(regexp_extract(t, '{url}', 3), '/') path, regexp_extract(t, '{url}', 4) rest from r2),
+r4 as (select v, address, unnest(path) p, unnest(generate_series(1, len(path))) i from r3), r5 as (select v, address, i, trim(p) p, replace(replace(trim(p), '-', ' '), '_', ' ') x from r4),
+r6 as (select x from r5 union select t from r1 where short), {known_labels('r6')},
+r7 as (select v, address, string_agg(coalesce(replace(lower(label), ' ', ''), p), '/' order by i) path from r5 left join known using (x) group by 1, 2),
+repaired as (select v, address, case when fits then scheme || host || r7.path || rest else t end w from r3 join r7 using (v, address)
+union all select v, address, coalesce(label, t) from r1 left join known on t = x and short where not u)"""
