@@ -288,6 +288,7 @@ _ZONES = {
     "left_message": "y >= 72 and y <= 604 and x <= 537 and x + w <= 793 and w <= 563 and n >= 8",
     "right_message": "y >= 72 and y <= 604 and x >= 614 and w <= 512 and n >= 6",
     "input": f"y >= 547 and w >= 64 and {q.has_any('low', lexicon.INPUT_TOKENS)}",
+    "sidebar": r"y >= 72 and y <= 604 and x <= 307 and w <= 281 and n <= 24 and len(regexp_extract_all(t, '[A-Za-z0-9\x{4e00}-\x{9fff}]+')) <= 3",
     "chat_title": "y <= 158 and not u and n <= 40 and x >= 320 and x <= 998 and n3 >= 2",
     "chart_title": "y <= 172 and x <= 921 and n3 >= 4 and not u",
     "x_axis": "y >= 489 and x >= 153 and n <= 18",
@@ -415,7 +416,39 @@ def chat_messages(spark, sf_dir):
     return m.select("id", texts("left_message").alias("left_messages"), texts("right_message").alias("right_messages"))
 
 
-@query()
+def _talk() -> str:
+    """CTEs that end with ly: the layout of each conversation's screen (a browser's if it has an address), short texts repaired."""
+    when = {n: f"filter ({c})" for n, c in _ZONES.items()}
+    least = lambda order, zone: f"coalesce((list(t order by {order}, ord) {when[zone]})[1], '')"
+    return (
+        _CHAT.replace("with c as", "with recursive c as")
+        + f""", z0 as (select id, i, role, raw, {q.norm('t', 220)} t, greatest(0, least(1279, x)) x, greatest(0, least(719, y)) y, w w0 from r where t <> ''),
+z as (select *, greatest(1, least(1280 - x, w0)) w, lower(t) low, {q.url_like('t')} u, {q.matches('t', r'[A-Za-z\x{4e00}-\x{9fff}]')} n3, length(t) n, row_number() over (partition by id order by y, x, i, role, raw) ord from z0),
+tx as (select id, {q.norm("string_agg(t, ' ' order by i, role, raw)", 1600)} txt from r group by 1),
+b0 as (select id, (list(t order by w desc, ord) {when['address']})[1] address, {least('n desc, w desc', 'page_title')} page_title, list(t order by ord) {when['field']} fields, {least('y, w desc', 'chat_title')} title, {least('0', 'input')} hint,
+coalesce(list({q.stabilize('t')} order by ord) {when['left_message']}, []) lefts, coalesce(list({q.stabilize('t')} order by ord) {when['right_message']}, []) rights, coalesce(list(t order by ord) {when['sidebar']}, []) sides from z group by 1),
+b1 as (select *, case when address is not null or (contains(lower(txt), 'browser') and fields is not null) then 'browser' else 'chat' end kind from b0 join tx using (id)),
+b2 as (select id, txt, kind, case when kind = 'browser' then coalesce(address, '') else '' end address, case when kind = 'browser' then page_title else '' end page_title,
+case when kind = 'browser' then (list_filter(coalesce(fields, []), lambda f: {q.norm('f', 120)} <> page_title))[1:4] else [] end fields, case when kind = 'chat' then title else '' end title, case when kind = 'chat' then hint else '' end hint,
+case when kind = 'chat' then {q.distinct('lefts[1:4]')} else [] end lefts, case when kind = 'chat' then {q.distinct('rights[1:4]')} else [] end rights, case when kind = 'chat' then sides[1:4] else [] end sides from b1),
+el as (select id, 'f' part, unnest(fields) v, unnest(generate_series(1, len(fields))) i from b2 union all select id, 's', unnest(sides), unnest(generate_series(1, len(sides))) from b2),
+src as (select address v, true address from b2 union select page_title, false from b2 union select title, false from b2 union select hint, false from b2 union select v, false from el), """
+        + q.repaired("src")
+        + f""",
+fw as (select id, part, list({q.norm('w', 240)} order by i) ws from el join repaired on el.v = repaired.v and not address group by 1, 2), fx as (select id, part, {q.distinct('ws')} a from fw),
+ly as (select b2.id, txt, kind, ra.w address_bar, rp.w page_title, coalesce(ff.a, [])[1:4] f, rt.w title, lefts, rights, rh.w hint, coalesce(fs.a, [])[1:4] sides from b2 join repaired ra on ra.v = b2.address and ra.address join repaired rp on rp.v = b2.page_title and not rp.address
+join repaired rt on rt.v = b2.title and not rt.address join repaired rh on rh.v = b2.hint and not rh.address left join fx ff on ff.id = b2.id and ff.part = 'f' left join fx fs on fs.id = b2.id and fs.part = 's'),
+dt as (select *, case kind when 'browser' then concat_ws('; ', case when page_title <> '' then 'page title: ' || {q.stabilize('page_title')} end, case when address_bar <> '' then 'address bar: ' || {q.stabilize('address_bar')} end, case when len(f) > 0 then 'visible controls: ' || array_to_string(f, ', ') end)
+else concat_ws('; ', case when title <> '' then 'chat title: ' || {q.stabilize('title')} end, case when len(lefts) > 0 and len(rights) > 0 then 'messages appear on both left and right sides' when len(lefts) > 0 then 'messages are visible on the left side' end,
+case when hint <> '' then 'composer: ' || {q.stabilize('hint')} end, case when len(sides) > 0 then 'sidebar items: ' || array_to_string(sides[1:3], ', ') end) end details from ly)
+"""
+    )
+
+
+_TALK = _talk()
+
+
+@query(_TALK + "select id, kind, title, array_to_string(lefts, '|') left_messages, array_to_string(rights, '|') right_messages, hint input_hint, array_to_string(sides, '|') sidebar from ly")
 def chat_layout(spark, sf_dir):
     x = layouts(screens.chat_screens(spark, sf_dir))
     return x.select("id", "l.kind", "l.title", bar(F.col("l.left_messages")).alias("left_messages"), bar(F.col("l.right_messages")).alias("right_messages"), "l.input_hint", bar(F.col("l.sidebar_labels")).alias("sidebar"))
@@ -433,7 +466,9 @@ def chart_details(spark, sf_dir):
     return x.select("id", compose.chart_details(F.col("c")).alias("details"))
 
 
-@query()
+@query(
+    "with pages0 as (" + _PAGE + "select 'page ' || id id, details from d), talks as (" + _TALK + "select 'talk ' || id id, details from dt) select * from pages0 union all select * from talks"
+)
 def layout_details(spark, sf_dir):
     parts = [layouts(f(spark, sf_dir)).select(F.concat(F.lit(n), F.col("id").cast("string")).alias("id"), compose.layout_details(F.col("l")).alias("details")) for n, f in (("page ", screens.browser_screens), ("talk ", screens.chat_screens))]
     return parts[0].unionByName(parts[1])
@@ -468,7 +503,15 @@ def browser_analysis(spark, sf_dir):
     return flat_record(analyze_screens(screens.browser_screens(spark, sf_dir)), "id")
 
 
-@query()
+@query(
+    _TALK
+    + f""", m0 as (select *, lower(txt) low, {q.norm('lower(txt)', 1200)} m from dt), m1 as (select *, ({q.markers('m')})[1:8] marks from m0), m2 as (select *, {q.scene('low', 'marks')} sc0, {q.norm('txt', 1200)} n from m1),
+m3 as (select *, case when sc0 in ('ui', 'document') then kind else sc0 end scene, case kind when 'browser' then ({q.distinct('list_concat([page_title, address_bar], f)')})[1:10] else ({q.distinct('list_concat(list_concat(list_concat(list_concat([title], sides), lefts), rights), [hint])')})[1:12] end seen,
+({q.labels('n')})[1:6] readable from m2),
+m4 as (select *, ({q.distinct("case scene when 'browser' then list_concat(f, [page_title]) else list_concat(sides, [hint, title]) end")})[1:6] named0 from m3), m5 as (select *, case when len(named0) > 0 then named0 else readable end named from m4)
+select id, true ok, scene, {q.norm("array_to_string(seen, '; ')", 1200)} visible_text, case scene when 'browser' then 'This appears to be a browser or website page.' else 'This appears to be a chat or messaging interface.' end
+|| case when details <> '' then ' Layout details: ' || details || '.' else '' end || case when len(named) > 0 then ' Readable labels include: ' || array_to_string(named, ', ') || '.' else '' end summary, '1280x720' size from m5"""
+)
 def chat_analysis(spark, sf_dir):
     return flat_record(analyze_screens(screens.chat_screens(spark, sf_dir)), "id")
 
@@ -592,6 +635,14 @@ def digest_dedupe(spark, sf_dir):
     return d.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
 
 
+@query("select doc_id, sha256(coalesce(text, '')) digest, strlen(coalesce(text, '')) bytes from documents")
+def base64_input(spark, sf_dir):
+    """Bytes that come as data URLs are the bytes themselves."""
+    url = F.concat(F.lit("data:image/png;base64,"), F.base64(F.coalesce("text", F.lit("")).cast("binary")))
+    d = documents(spark, sf_dir, url.alias("img")).select("doc_id", F.coalesce(images.base64_bytes("img"), F.lit(b"")).alias("content"))
+    return d.select("doc_id", F.sha2("content", 256).alias("digest"), F.octet_length("content").cast("long").alias("bytes"))
+
+
 @query(f"select region.r_regionkey id, false ok, '{UNREADABLE}' summary, '' scene, '' digest, '' size, true no_layout from region")
 def failure_rows(spark, sf_dir):
     r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), failure(UNREADABLE).alias("record"))

@@ -100,12 +100,16 @@ def analyze(spark: SparkSession, images: DataFrame, column: str = "content", pro
     """All rows of images, with `record` in place of the image. `column`: bytes, or base64 text.
 
     With `dedupe` an image is analysed once however often it occurs. That takes one shuffle of the images
-    by digest; back to their rows come only records. Without it there is no shuffle at all.
+    by digest; back to their rows come only records. Rows without any bytes fail where they are: they would all have one
+    digest. Without `dedupe` there is no shuffle at all.
     """
     others = [c for c in images.columns if c != column]
     raw = base64_bytes(column) if dict(images.dtypes)[column] == "string" else F.col(column)
     keyed = images.select(F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("_row"), raw.alias("content"))
     keyed = keyed.withColumn("key", F.sha2(F.coalesce("content", F.lit(b"")), 256))
+    blank = F.coalesce(F.octet_length("content"), F.lit(0)) == 0
+    every = keyed
+    keyed = every.where(~blank) if dedupe else every
     rows = keyed.select("key", "content").dropDuplicates(["key"]) if dedupe else keyed
     seen = rows.withColumn("_i", inspect("content")).withColumns({n: F.col(f"_i.{n}") for n in ("ok", "width", "height", "chart_visual")})
     seen = seen.withColumn("content", F.when(F.col("ok"), F.col("content"))).drop("_i")
@@ -113,7 +117,8 @@ def analyze(spark: SparkSession, images: DataFrame, column: str = "content", pro
     read = with_captions(read, captioner) if captioner is not None else read.withColumn("caption", F.lit(""))
     done = compose_records(read.withColumn("digest", F.col("key")))
     if dedupe:
-        done = keyed.select("_row", "key").join(done.select("key", "record"), "key", "left")
+        done = keyed.select("_row", "key").join(done.select("key", "record"), "key", "left").select("_row", "record")
+        done = done.unionByName(every.where(blank).select("_row", failure(UNREADABLE).cast(done.schema["record"].dataType).alias("record")))
     return done.select(*(F.col(f"_row.`{c}`") for c in others), "record")
 
 
