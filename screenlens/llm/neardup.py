@@ -41,7 +41,7 @@ NEEDED = 500_000
 #: Texts in which frequent shingles are looked for, and how many of these shingles are told apart at most.
 SAMPLE, FREQUENT = 10_000, 200_000
 #: Texts of a class of a large cell; cells up to FEW have their pairs verified at once.
-CLASS, FEW = 512, 8
+CLASS, FEW = 256, 8
 #: Least bits of a bitmap; comparisons made at once.
 BITS, STEP = 256, 500_000
 

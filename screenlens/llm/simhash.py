@@ -28,6 +28,8 @@ from .common import by_key, narrow, ranges, stored, tidy, tune
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Hashes whose bits are counted at once.
 STEP = 200_000
+#: Edges that a task contracts at once.
+CONTRACT = 1_000_000
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE) -> list[int]:
@@ -216,13 +218,54 @@ def links(fps: DataFrame, radius: int = RADIUS, split: int = 512, tree: int = 40
     return shard_links(rows.repartition("shard").sortWithinPartitions("shard", "fp"), radius, tree).distinct()
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node of the edges (a, b), but for the least of a component, to that least node."""
+    node, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    least = np.arange(len(node))
+    while True:
+        m = np.minimum(least[x], least[y])
+        new = least.copy()
+        for at in (x, y, least[x], least[y]):
+            np.minimum.at(new, at, m)
+        new = new[new]
+        if (new == least).all():
+            break
+        least = new
+    other = least != np.arange(len(node))
+    return node[other], node[least[other]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that join the same, fewer of them: each task turns portions of CONTRACT edges into stars."""
+
+    def run(batches):
+        held, many = [], 0
+
+        def out():
+            a, b = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy() for c in ("a", "b")))
+            many += batch.num_rows
+            if many >= CONTRACT:
+                yield out()
+                held, many = [], 0
+        if many:
+            yield out()
+
+    return edges.mapInArrow(tidy(run), "a long, b long")
+
+
 def components(edges: DataFrame, rounds: int = 60, nodes: int | None = None) -> DataFrame:
     """(node, root): the least node that each node of the edges (a, b) reaches. nodes: how many there are at most.
 
-    Large-star and small-star contraction in turn; each round is written to the shared folder. The
-    rounds grow with the logarithm of a component's size.
+    Edges that lie in one task become stars there. Large-star and small-star contraction follow in turn; each round is
+    written to the shared folder. The rounds grow with the logarithm of a component's size.
     """
-    e = stored(narrow(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), nodes), "edges")
+    e = narrow(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), nodes)
+    e = stored(narrow(contracted(e).distinct(), nodes), "edges")
     mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     for _ in range(rounds):
         if not mark[0]:
