@@ -3,28 +3,33 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: bounds what a Python worker holds at once when texts are long.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch, or one row more: bounds what a Python worker holds at once when texts are long.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers get."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset."""
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir); a local one only in local sessions where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="screenlens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -40,9 +45,53 @@ def narrow(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.coalesce(most if rows is None else max(1, min(most, -(-rows // FILE_ROWS))))
 
 
+class Scratch:
+    """Tables stored within are removed at the end, but for those that the result reads; an outer one sees to these."""
+
+    open: ClassVar[list[Scratch]] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch.open.append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        Scratch.open.remove(self)
+        self.drop(list(self.paths))
+
+    def drop(self, paths: list[str]) -> None:
+        for path in paths:
+            remove(self.spark, path)
+            self.paths.remove(path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """df, whose tables stay."""
+        files = df.inputFiles()
+        read = [p for p in self.paths if any(p.rsplit("/", 1)[1] in f for f in files)]
+        self.paths = [p for p in self.paths if p not in read]
+        if len(Scratch.open) > 1:
+            Scratch.open[-2].paths += read
+        return df
+
+
+def tidied(f: Callable) -> Callable:
+    """A function (spark, ...) to a DataFrame that leaves no tables behind but those its result reads."""
+
+    @functools.wraps(f)
+    def call(spark: SparkSession, *args, **more) -> DataFrame:
+        with Scratch(spark) as s:
+            return s.result(f(spark, *args, **more))
+
+    return call
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table to the shared folder and read it again."""
     path = scratch(df.sparkSession, name)
+    if Scratch.open:
+        Scratch.open[-1].paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -94,12 +143,17 @@ def release() -> None:
 CACHES: list[Callable] = []
 
 
+def forget() -> None:
+    """Empty what the worker kept for other operators."""
+    for empty in CACHES:
+        empty()
+
+
 def tidy(run: Callable) -> Callable:
     """A function of batches that releases memory when it ends, and before it begins what the worker kept for other operators."""
 
     def inner(batches):
-        for empty in CACHES:
-            empty()
+        forget()
         try:
             yield from run(batches)
         finally:

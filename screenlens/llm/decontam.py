@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranges, stored, tidy, tune
+from .common import ranges, stored, tidied, tidy, tune
 
 #: ASCII that is neither digit nor letter parts words; A-Z becomes a-z; all else stays.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Bytes of text in a segment, or one document more.
-SEGMENT = 6_000_000
+SEGMENT = 2_000_000
 #: Words among which those of a block must lie for a proximity match.
 REACH = 20
 INDEX = "docs array<long>, starts array<int>, sizes array<int>, terms binary, ptr array<int>, steps array<int>"
@@ -264,6 +264,7 @@ def look_up(postings: DataFrame, benchmark: DataFrame, width: int = 10, reach: i
     return finish(hits.groupBy("seg", "at").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("first", "last", "items", "near"))))
 
 
+@tidied
 def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 16_000_000, reach: int = REACH) -> DataFrame:
     """Columns OUT of every row of docs (doc_id, text)."""
     return look_up(index(docs), benchmark, width, reach, block_chars)

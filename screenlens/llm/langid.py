@@ -9,7 +9,8 @@ hash of doc_id; prediction reads every whole text.
 Defined results: a text that is null, empty or without letters gets `und` and score 0, as does
 every text if nothing can be learned; rows with null text or lang are not learned from; a null
 doc_id counts as the empty string; ties go to the language that sorts first; repeated rows are
-predicted alike; other columns are ignored.
+predicted alike; very long texts are predicted whole, some at a time; an empty table gives an empty one; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import known_small, release, tidy, tune
+from .common import forget, known_small, release, tidy, tune
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -162,6 +163,7 @@ def predict_udf(model: Broadcast):
 
     @F.arrow_udf(SCHEMA)
     def predict(text: pa.Array) -> pa.Array:
+        forget()
         langs, score = model.value.predict(text.to_pylist())
         release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_key, remove, scratch, stored, tidy, tune
+from .common import by_key, remove, scratch, stored, tidied, tidy, tune
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 NO_ID = -(1 << 63)
@@ -216,6 +216,7 @@ def _apply(docs: DataFrame, min_chars: int, doomed_of) -> DataFrame:
     return docs.mapInArrow(tidy(apply), f"row {docs.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept string")
 
 
+@tidied
 def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, fanout: int = 4, broadcast_keys: int = 200_000) -> DataFrame:
     """row (struct of all columns but text), n_lines, n_dropped, kept (the remaining text) of every row. batches: how many (None: by the number of keys)."""
     tune(spark)

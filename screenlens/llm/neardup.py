@@ -33,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_key, known_small, narrow, stored, tidy, tune
-from .simhash import components, fold, links, shingle_hashes
+from .common import by_key, known_small, narrow, stored, tidied, tidy, tune
+from .simhash import components, fold, links, named, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 NEEDED = 500_000
@@ -338,6 +338,7 @@ def open_cells(crowds: DataFrame, texts: DataFrame, root: DataFrame) -> DataFram
     return dealt.join(texts.select("tid", "n", "bits"), "tid").select("cell", "tid", "n", "bits", "part", "side")
 
 
+@tidied
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id of every row of docs (doc_id, text)."""
     tune(spark)
@@ -372,6 +373,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, si
             edges = edges.unionByName(more)
             root = stored(components(edges, nodes=rows), "parts")
     linked = texts.select("tid", "least").join(root.withColumnRenamed("node", "tid"), "tid")
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("tid", "component_id")
-    label = texts.select("tid", "least", "count").join(named, "tid", "left").select("tid", "count", F.coalesce("component_id", "least").alias("component_id"))
+    label = texts.select("tid", "least", "count").join(named(linked, "tid"), "tid", "left").select("tid", "count", F.coalesce("component_id", "least").alias("component_id"))
     return by_key(table.select("doc_id", "tid"), label, "tid").select("doc_id", "component_id")

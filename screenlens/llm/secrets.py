@@ -9,7 +9,8 @@ versions, and identifiers (words joined by `_`, `-`, `/` or case changes, with s
 Kinds in order: assign, access, hex, random. Spans are code points, end exclusive.
 
 Defined results: a null text counts as empty and has no span; repeated rows are scanned each for
-itself; a text is scanned whole whatever its length; other columns are ignored.
+itself; a text is scanned whole whatever its length; a run that meets a known kind is that kind alone; spans that begin together
+go in the order of kinds; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations

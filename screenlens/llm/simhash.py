@@ -12,7 +12,8 @@ so to broadcast them would have no bound. A task emits no more links than join a
 
 Defined results: a text without words (null, empty) has fingerprint zero, linked like any other; one
 with fewer words than a shingle counts as a single shingle; a null doc_id never names a component
-that has another id; repeated rows each get their line; other columns are ignored.
+that has another id; repeated rows each get their line; texts are read whole, whatever their length; a bit that half of the
+hashes have is not set; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_key, narrow, ranges, stored, tidy, tune
+from .common import by_key, narrow, ranges, stored, tidied, tidy, tune
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Hashes whose bits are counted at once.
@@ -214,8 +215,9 @@ def links(fps: DataFrame, radius: int = RADIUS, split: int = 512, tree: int = 40
         again = again.when(F.col("k") == k, F.array(*(F.struct(F.lit(j).alias("j"), masked(d).alias("w")) for j, d in enumerate(rest, 1))))
     whole = F.array(F.struct(F.lit(0).alias("j"), F.lit(0).cast("long").alias("w")))
     rows = first.select("fp", "k", "v", F.explode(F.when(F.col("large"), again).otherwise(whole)).alias("t")).select("fp", F.xxhash64("k", "v", "t.j", "t.w").alias("shard"))
-    # Shards whose hashes collide are merely searched together.
-    return shard_links(rows.repartition("shard").sortWithinPartitions("shard", "fp"), radius, tree).distinct()
+    # Shards whose hashes collide are merely searched together. They are few bytes and much work: as many tasks as a shuffle has.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shard_links(rows.repartition(tasks, "shard").sortWithinPartitions("shard", "fp"), radius, tree).distinct()
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,15 +287,20 @@ def components(edges: DataFrame, rounds: int = 60, nodes: int | None = None) ->
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def named(linked: DataFrame, key: str) -> DataFrame:
+    """(key, component_id) of rows (key, root, least): the least of the rows with that root, however many they are."""
+    label = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("count"))
+    return by_key(linked.select(key, "root"), label, "root").select(key, "component_id")
+
+
+@tidied
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id of every row of docs (doc_id, text)."""
     tune(spark)
     table = stored(fingerprint_table(docs, width), "fingerprints")
     fps = stored(narrow(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("count")), table.count()), "distinct")
     root = components(links(fps.select("fp"), radius), nodes=fps.count())
-    linked = fps.join(root.withColumnRenamed("node", "fp"), "fp")
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    label = fps.join(named, "fp", "left").select("fp", "count", F.coalesce("component_id", "least").alias("component_id"))
+    label = fps.join(named(fps.join(root.withColumnRenamed("node", "fp"), "fp"), "fp"), "fp", "left").select("fp", "count", F.coalesce("component_id", "least").alias("component_id"))
     return by_key(table, label, "fp").select("doc_id", "fp", "component_id")
 
 

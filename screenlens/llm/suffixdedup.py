@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import induced
-from .common import SHARE, ranges, stored, tidy, tune
+from .common import SHARE, ranges, stored, tidied, tidy, tune
 
 LENGTH, GRAM = 100, 32
 #: Bytes handled at once; contexts that a task compares at once; bytes of a shard.
@@ -327,6 +327,7 @@ def cut(raw: bytes, starts, numbers, length: int) -> tuple[bytes, int, int]:
     return b"".join(out), removed, spans
 
 
+@tidied
 def dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept of every row of docs (doc_id, text)."""
     if length < GRAM:
