@@ -2,6 +2,11 @@
 
 Each stage takes what its predecessor kept. All but the last return the columns of documents.
 
+Defined results: null and empty texts have no language and go in the first stage, as do all texts without letters (the
+only ones it rejects: every other text has a likeliest language); very long texts are read whole; an empty table gives an
+empty one; repeated rows are copies, of which near-dedup keeps those of the smallest doc_id; columns of documents beyond
+those that stages use come through to the last one.
+
 Rows that share a doc_id stay together in the near-dedup and the decontamination: they stay if one of
 them is the document that its group keeps, and go if one of them is contaminated. A null doc_id is
 an id of its own.
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenlens.llm import bpe, decontam, langid, linededup, neardup
-from screenlens.llm.common import fresh, known_small, narrow, stored, tune
+from screenlens.llm.common import Scratch, fresh, known_small, narrow, stored, tidied, tune
 
 #: The stages' models (a language model, a lexicon) have no SQL form; tests/llm holds the pipeline against brute force.
 ORACLE_SQL = None
@@ -30,6 +35,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids[name]), "left_anti")
 
 
+@tidied
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told; those without letters go."""
     tune(spark)
@@ -38,11 +44,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.withColumn(name, predict("text")).where(F.col(f"{name}.lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
+@tidied
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that three or more share (but for the last holder's)."""
     return linededup.clean(linededup.dedup(spark, docs), docs.columns)
 
 
+@tidied
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates (five-word shingles, similarity 0.8), the document with the smallest doc_id."""
     found = stored(narrow(neardup.near_duplicates(spark, docs), docs.count()), "components")
@@ -50,12 +58,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(docs, found.where(~stays).select("doc_id").subtract(found.where(stays).select("doc_id")))
 
 
+@tidied
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     found = decontam.scan(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return without(docs, found.where("contaminated"))
 
 
+@tidied
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and digests of the ids and of the decoded text."""
     name = fresh(docs.columns, "_code")
@@ -69,6 +79,11 @@ STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; each stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return docs
+    with Scratch(spark) as whole:
+        for name, stage in STAGES:
+            before = list(whole.paths)
+            with Scratch(spark) as one:
+                docs = one.result(stored(stage(spark, docs, sf_dir), name))
+            # Once a stage's result is written, its predecessor's goes.
+            whole.drop(before)
+        return whole.result(docs)
