@@ -539,7 +539,7 @@ _DOC_SUMMARY = (
 @query(_DOC_SUMMARY)
 def document_summary(spark, sf_dir):
     """Summaries of documents as screens without lines."""
-    d = documents(spark, sf_dir, "text", sc.scene(F.col("text"), F.lit(1280), F.lit(720)).alias("scene")).where(F.col("scene").isin("document", "ui"))
+    d = documents(spark, sf_dir, "text", settled(sc.scene(F.col("text"), F.lit(1280), F.lit(720))).alias("scene")).where(F.col("scene").isin("document", "ui"))
     none = [F.lit(None).cast(k) for k in (schemas.LAYOUT, schemas.CHART_TEXT, schemas.CHART_VISUAL)]
     return d.select("doc_id", compose.summary(F.col("scene"), F.col("text"), F.lit(1280), F.lit(720), *none).alias("summary"))
 
