@@ -87,12 +87,12 @@ def tidied(f: Callable) -> Callable:
     return call
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table to the shared folder and read it again."""
+def stored(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    """Cut the lineage: write a table to the shared folder, with options of the writer, and read it again."""
     path = scratch(df.sparkSession, name)
     if Scratch.open:
         Scratch.open[-1].paths.append(path)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,9 @@
 
 The corpus is cut into segments of whole documents. A segment is one row of the index table in the
 shared folder: its documents, the sorted list of its terms, and for each term the sorted list of its positions, for all
-tokens (differences of positions in one array, with pointers). The index knows no benchmark: it is built once, and
+tokens (differences of positions in one array, with pointers). Arrays are kept as bytes, so that Spark moves each as one value, and
+row groups have ROW_GROUP bytes at most, or one segment: so much is what a task that writes or reads the index holds,
+whatever its input. The index knows no benchmark: it is built once, and
 any number of benchmarks, or blocks of one, are answered from it. Segments need no exchange with one another, whatever is
 frequent in them.
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 import collections
 import functools
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,11 @@ TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 SEGMENT = 2_000_000
 #: Words among which those of a block must lie for a proximity match.
 REACH = 20
-INDEX = "docs array<long>, starts array<int>, sizes array<int>, terms binary, ptr array<int>, steps array<int>"
+#: Each but terms holds little-endian integers: docs 64-bit ones, of which known tells which are not null; the others 32-bit ones.
+INDEX = "docs binary, known binary, starts binary, sizes binary, terms binary, ptr binary, steps binary"
+#: Spark's writer otherwise looks at sizes after 100 rows, which may be 200 MB here, and Spark's reader takes a row group at once.
+ROW_GROUP = 4 << 20
+WRITE = {"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": "false"}
 HITS = "seg long, at int, doc_id long, n_words long, first array<int>, last array<int>, items array<string>, near array<string>"
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long"
 
@@ -68,8 +75,8 @@ class Segment:
 
     @classmethod
     def build(cls, docs: list, texts: list[str | None]) -> Segment:
-        number: collections.defaultdict[bytes, int] = collections.defaultdict()
-        number.default_factory = number.__len__
+        # Its factory must not refer to it: a ring would keep each segment's words until some later garbage collection.
+        number: collections.defaultdict[bytes, int] = collections.defaultdict(itertools.count().__next__)
         ids, sizes = [], []
         for t in texts:
             w = words(t)
@@ -159,10 +166,11 @@ def build_index(docs: DataFrame) -> DataFrame:
 
         def row():
             s = Segment.build(ids, texts)
-            one = lambda x, t: pa.array([x], t)
-            steps = np.diff(s.positions, prepend=np.int32(0))
-            lists = {"docs": one(s.docs, pa.list_(pa.int64())), "starts": one(s.starts, pa.list_(pa.int32())), "sizes": one(s.sizes, pa.list_(pa.int32())), "terms": one(b" ".join(s.terms), pa.binary()), "ptr": one(s.ptr, pa.list_(pa.int32())), "steps": one(steps, pa.list_(pa.int32()))}
-            return pa.RecordBatch.from_pydict(lists)
+            docs = np.array([0 if d is None else d for d in s.docs], "<i8"), np.array([d is not None for d in s.docs])
+            numbers = (x.astype("<i4") for x in (s.starts, s.sizes, s.ptr, np.diff(s.positions, prepend=np.int32(0))))
+            starts, sizes, ptr, steps = (x.tobytes() for x in numbers)
+            values = [docs[0].tobytes(), docs[1].tobytes(), starts, sizes, b" ".join(s.terms), ptr, steps]
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in values], names=["docs", "known", "starts", "sizes", "terms", "ptr", "steps"])
 
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -181,12 +189,34 @@ def build_index(docs: DataFrame) -> DataFrame:
 def segments(batch):
     """(seg, Segment) of each row of an index table's batch."""
     for k, seg in enumerate(batch.column("seg").to_pylist()):
-        starts, sizes, ptr, steps = (batch.column(x)[k].values.to_numpy(zero_copy_only=False) for x in ("starts", "sizes", "ptr", "steps"))
-        yield seg, Segment(batch.column("docs")[k].as_py(), starts, sizes, batch.column("terms")[k].as_py().split(), ptr, np.cumsum(steps, dtype=np.int32))
+        starts, sizes, ptr, steps = (np.frombuffer(batch.column(x)[k].as_buffer(), "<i4") for x in ("starts", "sizes", "ptr", "steps"))
+        ids, known = (np.frombuffer(batch.column(x)[k].as_buffer(), t).tolist() for x, t in (("docs", "<i8"), ("known", bool)))
+        docs = [d if ok else None for d, ok in zip(ids, known, strict=True)]
+        yield seg, Segment(docs, starts, sizes, batch.column("terms")[k].as_py().split(), ptr, np.cumsum(steps, dtype=np.int32))
 
 
-def answer(index: DataFrame, queries, reach: int = REACH) -> DataFrame:
-    """For each document of each segment: the word ranges that windows hit, the items concerned, and the items with a block within reach."""
+def covered(first: list[int], last: list[int]) -> int:
+    """Number of integers in the union of the ranges."""
+    total, end = 0, -1
+    for a, b in sorted(zip(first, last, strict=True)):
+        total += max(0, b - max(a, end))
+        end = max(end, b)
+    return total
+
+
+def digest(hits: pa.RecordBatch) -> pa.RecordBatch:
+    """OUT of HITS."""
+    n = [covered(x, y) for x, y in zip(hits.column("first").to_pylist(), hits.column("last").to_pylist(), strict=True)]
+    items = [sorted(set(x)) for x in hits.column("items").to_pylist()]
+    near = [len(set(x)) for x in hits.column("near").to_pylist()]
+    return pa.RecordBatch.from_arrays(
+        [hits.column("doc_id"), hits.column("n_words"), pa.array(n, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([x > 0 for x in n], pa.bool_()), pa.array(near, pa.int64())],
+        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"],
+    )
+
+
+def answer(index: DataFrame, queries, reach: int = REACH, only: bool = True) -> DataFrame:
+    """For each document of each segment: the word ranges that windows hit, the items concerned, and the items with a block within reach (HITS); OUT if these queries are the only ones."""
 
     def search(batches):
         q = queries.value
@@ -209,43 +239,21 @@ def answer(index: DataFrame, queries, reach: int = REACH) -> DataFrame:
                     for d in set(s.owner(s.near(place[q.blocks[w][q.blocks[w] >= 0]], reach)).tolist()):
                         near.setdefault(d, set()).update(q.near_items[w])
                 n = len(s.docs)
-                yield pa.RecordBatch.from_arrays(
+                hits = pa.RecordBatch.from_arrays(
                     [pa.array([seg] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(s.docs, pa.int64()), pa.array(s.sizes, pa.int64())]
                     + [pa.array([x.get(d, []) for d in range(n)], pa.list_(pa.int32())) for x in (first, last)]
                     + [pa.array([sorted(x.get(d, ())) for d in range(n)], pa.list_(pa.string())) for x in (items, near)],
                     names=["seg", "at", "doc_id", "n_words", "first", "last", "items", "near"],
                 )
+                yield digest(hits) if only else hits
 
-    return index.mapInArrow(tidy(search), HITS)
-
-
-def covered(first: list[int], last: list[int]) -> int:
-    """Number of integers in the union of the ranges."""
-    total, end = 0, -1
-    for a, b in sorted(zip(first, last, strict=True)):
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
-
-
-def finish(hits: DataFrame) -> DataFrame:
-    def digest(batches):
-        for b in batches:
-            n = [covered(x, y) for x, y in zip(b.column("first").to_pylist(), b.column("last").to_pylist(), strict=True)]
-            items = [sorted(set(x)) for x in b.column("items").to_pylist()]
-            near = [len(set(x)) for x in b.column("near").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_words"), pa.array(n, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([x > 0 for x in n], pa.bool_()), pa.array(near, pa.int64())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"],
-            )
-
-    return hits.mapInArrow(tidy(digest), OUT)
+    return index.mapInArrow(tidy(search), OUT if only else HITS)
 
 
 def index(docs: DataFrame) -> DataFrame:
     """The index of docs (doc_id, text), written to the shared folder; `look_up` answers any benchmark from it."""
     tune(docs.sparkSession)
-    return stored(build_index(docs).withColumn("seg", F.monotonically_increasing_id()), "postings")
+    return stored(build_index(docs).withColumn("seg", F.monotonically_increasing_id()), "postings", WRITE)
 
 
 def look_up(postings: DataFrame, benchmark: DataFrame, width: int = 10, reach: int = REACH, block_chars: int = 16_000_000) -> DataFrame:
@@ -257,11 +265,12 @@ def look_up(postings: DataFrame, benchmark: DataFrame, width: int = 10, reach: i
     for k in range(blocks):
         block = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         q = postings.sparkSession.sparkContext.broadcast(Queries([(r.item_id, r.text) for r in block.toLocalIterator()], width))
-        parts.append(answer(postings, q, reach))
+        parts.append(answer(postings, q, reach, blocks == 1))
     if blocks == 1:
-        return finish(parts[0])
-    hits = functools.reduce(DataFrame.unionByName, parts)
-    return finish(hits.groupBy("seg", "at").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("first", "last", "items", "near"))))
+        return parts[0]
+    hits = functools.reduce(DataFrame.unionByName, parts).groupBy("seg", "at")
+    hits = hits.agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("first", "last", "items", "near")))
+    return hits.mapInArrow(tidy(lambda batches: map(digest, batches)), OUT)
 
 
 @tidied
